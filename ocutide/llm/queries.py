@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ocutide.llm import chat_format, decontaminate, license_scan, mixing, quality_rules, secret_scan, substring_dedup, token_counts
+from ocutide.llm import chat_format, decontaminate, license_scan, mixing, quality_rules, secret_scan, substring_dedup, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_digests(secret_scan.secret_scan(_table(spark, sf_dir, "documents")))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -49,7 +53,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op3_quality_rules, op4_chat_format, op5_token_counts, op6_mixing, op7_substring_dedup, op8_license_scan, op9_decontaminate)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op3_quality_rules, op4_chat_format, op5_token_counts, op6_mixing, op7_substring_dedup, op8_license_scan, op9_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
