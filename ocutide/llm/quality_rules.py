@@ -17,7 +17,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 
 from ocutide.llm.textbatch import _SPACE, TextBatch, chunks, windows

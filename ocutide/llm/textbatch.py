@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 CHUNK_BYTES = 1 << 20
 _RNG = np.random.default_rng(20240611)
@@ -109,7 +110,7 @@ def chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES
     """Row slices of a batch that hold about ``limit`` bytes of ``column`` each, a longer text alone."""
     if not batch.num_rows:
         return
-    sizes = np.asarray(pa.compute.binary_length(batch.column(batch.schema.get_field_index(column))).fill_null(0), np.int64)
+    sizes = np.asarray(pc.binary_length(batch.column(batch.schema.get_field_index(column))).fill_null(0), np.int64)
     first, held = 0, 0
     for i, n in enumerate(sizes.tolist()):
         if i > first and held + n > limit:
