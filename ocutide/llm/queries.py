@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ocutide.llm import chat_format, decontaminate, license_scan, mixing, quality_rules, secret_scan, substring_dedup, token_counts, toxicity
+from ocutide.llm import chat_format, decontaminate, jaccard_join, license_scan, mixing, quality_rules, secret_scan, substring_dedup, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,9 +52,13 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontamination_digests(found)
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op3_quality_rules, op4_chat_format, op5_token_counts, op6_mixing, op7_substring_dedup, op8_license_scan, op9_decontaminate)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op3_quality_rules, op4_chat_format, op5_token_counts, op6_mixing, op7_substring_dedup, op8_license_scan, op9_decontaminate, op10_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secret_scan": secret_scan.SQL, "op4_chat_format": chat_format.SQL, "op6_mixing": mixing.SQL, "op9_decontaminate": decontaminate.SQL}
+    return {"op1_secret_scan": secret_scan.SQL, "op4_chat_format": chat_format.SQL, "op6_mixing": mixing.SQL, "op9_decontaminate": decontaminate.SQL, "op10_jaccard_join": jaccard_join.SQL}
