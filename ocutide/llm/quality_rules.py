@@ -161,26 +161,40 @@ def base_figures(b: TextBatch) -> dict[str, np.ndarray]:
     }
 
 
+class Scorer:
+    """Figures and verdict of the rows of a batch."""
+
+    def __init__(self, path: str, bands: dict[str, Band]):
+        self.seg, self.bands, self.names = Segmenter(path), bands, list(bands)
+        self.table = np.array([[x.min_chars_per_token, x.max_chars_per_token, x.max_fallback, x.max_symbols, x.min_entropy] for x in bands.values()])
+
+    def __call__(self, part: pa.RecordBatch) -> pa.RecordBatch:
+        b = TextBatch(part.column("text"))
+        x = base_figures(b)
+        tokens, fallback, symbols, entropy = fertility(b, self.seg)
+        wide = b.per_doc(b.data >= 0xD0)  # lead bytes of scripts other than Latin and Greek
+        script = np.where(2 * wide > x["word_chars"], "script:other", "script:latin")
+        band = [v if v in self.bands else s for v, s in zip(part.column("lang").to_pylist(), script, strict=True)]
+        limit = self.table[[self.names.index(k) for k in band]]
+        per, share, marks = (v / np.maximum(tokens, 1) for v in (x["word_chars"], fallback, symbols))
+        failed = (x["n_words"] < MIN_WORDS) | (100 * x["n_repeat_words"] > MAX_REPEAT_PERCENT * x["n_words"])
+        fine = (per >= limit[:, 0]) & (per <= limit[:, 1]) & (share <= limit[:, 2]) & (marks <= limit[:, 3]) & ((entropy >= limit[:, 4]) | (tokens < ENTROPY_TOKENS))
+        cols = {"doc_id": part.column("doc_id")} | x | {"base_failed": failed, "kept": ~failed & fine, "n_tokens": tokens, "chars_per_token": per, "fallback_share": share, "symbol_share": marks, "token_entropy": entropy, "band": band}
+        return pa.RecordBatch.from_arrays([pa.array(cols[k], t) if k != "doc_id" else cols[k].cast(t) for k, _, t in OUT], [k for k, _, _ in OUT])
+
+
 def _scored(batches: Iterable[pa.RecordBatch], path: str, bands: dict[str, Band]) -> Iterator[pa.RecordBatch]:
-    seg = Segmenter(path)
-    names = list(bands)
-    table = np.array([[x.min_chars_per_token, x.max_chars_per_token, x.max_fallback, x.max_symbols, x.min_entropy] for x in bands.values()])
+    score = Scorer(path, bands)
     for batch in batches:
         for part in chunks(batch):
-            b = TextBatch(part.column("text"))
-            x = base_figures(b)
-            tokens, fallback, symbols, entropy = fertility(b, seg)
-            wide = b.per_doc(b.data >= 0xD0)  # lead bytes of scripts other than Latin and Greek
-            script = np.where(2 * wide > x["word_chars"], "script:other", "script:latin")
-            band = [v if v in bands else s for v, s in zip(part.column("lang").to_pylist(), script, strict=True)]
-            limit = table[[names.index(k) for k in band]]
-            per = x["word_chars"] / np.maximum(tokens, 1)
-            share = fallback / np.maximum(tokens, 1)
-            marks = symbols / np.maximum(tokens, 1)
-            failed = (x["n_words"] < MIN_WORDS) | (100 * x["n_repeat_words"] > MAX_REPEAT_PERCENT * x["n_words"])
-            fine = (per >= limit[:, 0]) & (per <= limit[:, 1]) & (share <= limit[:, 2]) & (marks <= limit[:, 3]) & ((entropy >= limit[:, 4]) | (tokens < ENTROPY_TOKENS))
-            cols = {"doc_id": part.column("doc_id")} | x | {"base_failed": failed, "kept": ~failed & fine, "n_tokens": tokens, "chars_per_token": per, "fallback_share": share, "symbol_share": marks, "token_entropy": entropy, "band": band}
-            yield pa.RecordBatch.from_arrays([pa.array(cols[k], t) if k != "doc_id" else cols[k].cast(t) for k, _, t in OUT], [k for k, _, _ in OUT])
+            yield score(part)
+
+
+def _kept(batches: Iterable[pa.RecordBatch], path: str, bands: dict[str, Band]) -> Iterator[pa.RecordBatch]:
+    score = Scorer(path, bands)
+    for batch in batches:
+        for part in chunks(batch):
+            yield part.filter(score(part).column("kept"))
 
 
 def quality_rules(docs: DataFrame, model: str, bands: dict[str, Band] | None = None) -> DataFrame:
@@ -190,3 +204,9 @@ def quality_rules(docs: DataFrame, model: str, bands: dict[str, Band] | None = N
     """
     bands = bands or BANDS
     return docs.select("doc_id", "text", "lang").mapInArrow(lambda it: _scored(it, model, bands), ", ".join(f"{k} {t}" for k, t, _ in OUT))
+
+
+def keep_good(docs: DataFrame, model: str, bands: dict[str, Band] | None = None) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with all their columns, in one pass."""
+    bands = bands or BANDS
+    return docs.mapInArrow(lambda it: _kept(it, model, bands), docs.schema)
