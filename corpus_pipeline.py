@@ -1,23 +1,69 @@
-"""From raw documents to a training mix, stage by stage."""
+"""From raw documents to a training mix, stage by stage.
+
+Each stage takes the documents that its predecessor kept and acts on what its
+operator finds: bad texts go, one text of each group of near duplicates stays,
+contaminated texts go, secrets are masked, and the mix draws the rest to its target
+weights.  Rows without a doc_id go in the first stage, since nothing can refer to
+them; of several rows of one doc_id the second stage keeps one.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ocutide.llm.decontaminate import decontaminate
+from ocutide.llm.jaccard_join import jaccard_components
+from ocutide.llm.mixing import mix
+from ocutide.llm.quality_rules import keep_good
+from ocutide.llm.secret_scan import redact
+from ocutide.llm.storage import stored
+
+
+def good_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the word rules and the fertility bands."""
+    return keep_good(docs.where("doc_id IS NOT NULL"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near duplicates the document of the smallest doc_id."""
+    first = jaccard_components(docs).where("doc_id = component_id").select("doc_id").distinct()
+    row = F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
+    return docs.join(first, "doc_id", "left_semi").withColumn("_row", row).where("_row = 1").select(*docs.columns)
+
+
+def not_in_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no window of a benchmark item."""
+    found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return docs.join(found.where("n_hit > 0").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
 
-from ocutide.llm.quality_rules import quality_rules
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+def secrets_masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their secrets replaced by a mark."""
+    return redact(docs)
 
 
-def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = quality_rules(docs, public_tokenizers.path("piece_bpe_32k.model")).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the mix takes, with their number of tokens, weight and copies."""
+    drawn = mix(docs).where("copies > 0").select("doc_id", "topic", "n_tokens", "weight", "copies")
+    return docs.join(drawn, "doc_id")
 
 
-STAGES = [("quality_rules", keep_quality)]
+STAGES = [
+    ("quality_rules", good_texts),
+    ("jaccard_join", one_of_each_group),
+    ("decontaminate", not_in_benchmarks),
+    ("secret_scan", secrets_masked),
+    ("mixing", mixed),
+]
+#: The vocabulary of the first stage is beyond SQL; the tests hold the stages against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return keep_quality(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), sf_dir)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
