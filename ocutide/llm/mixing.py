@@ -55,7 +55,7 @@ def default_targets(cells: DataFrame, powers: dict[str, float]) -> dict[str, Dat
     out = {}
     for d, power in powers.items():
         part = cells.groupBy(d).agg(F.sum("n_tokens").alias("n")).select(d, F.pow(F.col("n").cast("double"), F.lit(power)).alias("v"))
-        out[d] = part.crossJoin(F.broadcast(part.agg(F.sum("v").alias("all")))).select(d, (F.col("v") / F.col("all")).alias("target"))
+        out[d] = stored(part.crossJoin(F.broadcast(part.agg(F.sum("v").alias("all")))).select(d, (F.col("v") / F.col("all")).alias("target")), "targets")
     return out
 
 
@@ -63,12 +63,12 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS)
     """Cells (source, lang, topic, n_tokens) with their fitted share ``w``, 1 in all, and natural share ``natural``."""
     total = cells.agg(F.sum("n_tokens").cast("double").alias("all"))
     share = F.col("n_tokens") / F.col("all")
-    cur = cells.crossJoin(F.broadcast(total)).select(*DIMS, share.alias("natural"), share.alias("w"))
+    cur = stored(cells.crossJoin(F.broadcast(total)).select(*DIMS, share.alias("natural"), share.alias("w")), "raked")
     for _ in range(rounds):
         for d in DIMS:
             factor = cur.groupBy(d).agg(F.sum("w").alias("m")).join(targets[d], d).select(d, (F.col("target") / F.col("m")).alias("f"))
-            cur = cur.join(factor, d).withColumn("w", F.col("w") * F.col("f")).drop("f")
-        cur = stored(cur.select(*DIMS, "natural", "w"), "raked")
+            # each step reads its table twice, so it is written: plans stay of one size
+            cur = stored(cur.join(factor, d).select(*DIMS, "natural", (F.col("w") * F.col("f")).alias("w")), "raked")
     return cur
 
 
