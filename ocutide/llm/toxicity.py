@@ -33,7 +33,7 @@ from ocutide.llm.textbatch import _BYTE, _LOWER, TextBatch, chunks, mix, span_ha
 #: Insults that vote from the start (fixed values); more are found in the sample.
 LEXICON = ("bastard", "clown", "creep", "cretin", "disgusting", "dumb", "filth", "fool", "freak", "garbage", "idiot", "imbecile", "loser", "moron", "pathetic", "pig", "scum", "stupid", "trash", "vermin", "worthless")
 #: Most rows of either class in the sample, most voters, most words of the classifier.
-SAMPLE, VOTERS, FEATURES = 6000, 60, 600
+SAMPLE, VOTERS, FEATURES = 2500, 60, 600
 #: Bytes of the word beginnings that serve as patterns.
 BEGINNINGS = (4, 5, 6)
 THRESHOLD = 0.7
