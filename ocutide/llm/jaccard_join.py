@@ -1,14 +1,16 @@
 """N-gram Jaccard join with signature trees, exact, up to connected components.
 
 Texts become sets of hashed shingles; texts with equal sets form a class, which
-the rest treats as one.  Two classes can be similar enough only if they share one
-of the first ``n - ceil(t*n) + 1`` shingles of either in an order that all sets
-have in common.  The order puts shingles that are frequent in the corpus last, so a
-boilerplate passage brings no classes together unless they consist of it.
-
-Classes that share such a shingle form a run.  First each class is compared with one
-pivot of its runs, which joins most copies with linear work.  What is left in
-each run, classes of *different* components, is searched by a signature tree: its
+the rest treats as one.  Two similar classes share at least m of the first
+``n - ceil(t*n) + m`` shingles of either, in an order that all sets have in common
+(``m`` grows with n).  The order puts shingles that are frequent in the corpus last,
+so a boilerplate passage brings no classes together unless they consist of it.
+
+Classes that share such a shingle form a run.  A class that meets others in fewer
+than m runs has no partner, which ends nearly all chance meetings.  Then, in a few
+rounds, each class is compared with one pivot of its runs, which joins most copies
+with linear work.  What is left in each run, classes of *different* components, is
+searched by a signature tree: its
 nodes hold the OR of their members' shingle bitmaps, the range of their sizes and
 the most shingles that a bitmap hides; a dual traversal drops pairs of nodes
 that by size or by the largest possible overlap cannot hold a link.  Pairs that
@@ -42,6 +44,13 @@ SHINGLE, PERCENT = 4, 85
 BLOCK_TOKENS, BLOCK_LEAST, HEAVY = 1_500_000, 3, 200_000
 #: Bits of a bitmap, members of a leaf, classes that a task remembers.
 BITS, LEAF, SEEN = 2048, 16, 1_000_000
+#: Share of a set by which its prefix is longer than one shared shingle needs, and rounds of pivots.
+MORE_PERCENT, ROUNDS = 3, 3
+
+
+def meetings(n, percent: int = 100):
+    """How many prefix shingles a class of n must share with one similar class, of its own size or more (``percent``: of that share of it at least)."""
+    return 1 + -(-percent * n // 100) * MORE_PERCENT // 100
 
 
 def required(na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
@@ -122,7 +131,7 @@ def _prefix_rows(batches: Iterable[pa.RecordBatch], k: int, percent: int, heavy:
                 if not fresh:
                     continue
                 n = np.array([len(sets[i]) for i in fresh])
-                keep = n - -(-percent * n // 100) + 1
+                keep = n - -(-percent * n // 100) + meetings(n)
                 flat, owner = np.concatenate([sets[i] for i in fresh]), np.repeat(np.arange(len(fresh)), n)
                 order = np.arange(len(flat))
                 if len(heavy):
@@ -152,19 +161,37 @@ def _whole_runs(batches: Iterable[pa.RecordBatch], names: list[str]) -> Iterator
         yield {c: rest.column(c).to_numpy() for c in names}
 
 
-def _run_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of runs of two classes or more, with the class of the smallest number as pivot."""
+def feasible(run: np.ndarray, n: np.ndarray, pos: np.ndarray | None, percent: int) -> np.ndarray:
+    """Which entries (sorted by run, then size) have another of their run whose size goes with theirs.
+
+    With ``pos``: as the first shingle that a pair shares, which leaves ``n - pos`` to
+    share at most and so bounds the partner's size.
+    """
+    key = run * (1 << 32) + n
+    most, least = n * 100 // percent, -(-percent * n // 100)
+    if pos is not None:
+        most = np.minimum((n - pos) * (100 + percent) // percent - n, most)
+    partners = np.searchsorted(key, run * (1 << 32) + most, "right") - np.searchsorted(key, run * (1 << 32) + least, "left")
+    return (most >= least) & (partners - ((least <= n) & (n <= most)) > 0)
+
+
+def _run_rows(batches: Iterable[pa.RecordBatch], percent: int, first: bool) -> Iterator[pa.RecordBatch]:
+    """Rows of runs with a partner in their run; ``first``: with one for which this may be the first shared shingle."""
     names = ["token", "cls", "n", "pos"]
     for x in _whole_runs(batches, names):
         new = np.ones(len(x["token"]), bool)
         new[1:] = (x["token"][1:] != x["token"][:-1]) | (x["cls"][1:] != x["cls"][:-1])
         x = {c: v[new] for c, v in x.items()}
-        first = np.flatnonzero(np.concatenate([[True], x["token"][1:] != x["token"][:-1]]))
-        size = np.diff(np.concatenate([first, [len(x["token"])]]))
-        shared = np.repeat(size > 1, size)
-        if shared.any():
-            pivot = np.repeat(x["cls"][first], size)  # sorted by class within a run
-            yield pa.RecordBatch.from_arrays([pa.array(x[c][shared]) for c in names] + [pa.array(pivot[shared])], [*names, "pivot"])
+        run = np.cumsum(np.concatenate([[0], x["token"][1:] != x["token"][:-1]])).astype(np.int64)
+        order = np.flatnonzero(np.bincount(run)[run] > 1)
+        order = order[np.lexsort((x["n"][order], run[order]))]
+        while len(order):  # without an entry, those that needed it go too
+            fine = feasible(run[order], x["n"][order].astype(np.int64), x["pos"][order].astype(np.int64) if first else None, percent)
+            if fine.all():
+                break
+            order = order[fine]
+        if len(order):
+            yield pa.RecordBatch.from_arrays([pa.array(x[c][order]) for c in names], names)
 
 
 def _set_rows(batches: Iterable[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -242,12 +269,16 @@ def run_pairs(n: np.ndarray, pos: np.ndarray, comp: np.ndarray, bitmap: np.ndarr
 
 
 def _tree_rows(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    for x in _whole_runs(batches, ["token", "cls", "n", "pos", "comp", "bitmap"]):
+    """Pairs of each run that the tree leaves; a pair comes from the run of its first shared shingle only."""
+    for x in _whole_runs(batches, ["token", "cls", "n", "pos", "comp", "bitmap", "earlier"]):
         first = np.concatenate([np.flatnonzero(np.concatenate([[True], x["token"][1:] != x["token"][:-1]])), [len(x["token"])]])
         for lo, hi in zip(first[:-1], first[1:], strict=True):
             if hi - lo > 1:
                 bitmap = np.frombuffer(b"".join(x["bitmap"][lo:hi]), np.uint64).reshape(hi - lo, -1)
                 i, j = run_pairs(x["n"][lo:hi], x["pos"][lo:hi], x["comp"][lo:hi], bitmap, percent)
+                before = x["earlier"][lo:hi]
+                new = np.array([not len(np.intersect1d(before[a], before[b], True)) for a, b in zip(i, j, strict=True)], bool)
+                i, j = i[new], j[new]
                 if len(i):
                     p, q = x["cls"][lo:hi][i], x["cls"][lo:hi][j]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], ["u", "v"])
@@ -260,6 +291,19 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(f"100 * common >= {percent} * (nx + ny - common)").select("u", "v")
 
 
+RUN = "token bigint, cls bigint, n int, pos int"
+
+
+def _pivot_pairs(placed: DataFrame, k: int, percent: int) -> DataFrame:
+    """For each class the pivot of another component that it meets most, if it may be similar; the pivots of runs change with the round k."""
+    pivot = placed.groupBy("token").agg(F.min_by(F.struct("cls", "n", "pos", "comp"), F.xxhash64("cls", F.lit(k))).alias("p"))
+    both = placed.join(pivot, "token").where(F.col("comp") != F.col("p.comp"))
+    left = F.least(F.col("n") - F.col("pos"), F.col("p.n") - F.col("p.pos"))
+    both = both.where(100 * F.least("n", "p.n") >= percent * F.greatest("n", "p.n")).where((100 + percent) * left >= percent * (F.col("n") + F.col("p.n")))
+    counts = both.groupBy("cls", F.col("p.cls").alias("pivot")).agg(F.count("*").alias("c"))
+    return counts.groupBy("cls").agg(F.max_by("pivot", F.struct("c", "pivot")).alias("v")).select(F.col("cls").alias("u"), "v")
+
+
 def jaccard_links(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """The texts (doc_id, cls, n) and, between classes of equal sets, links (u, v) that connect all that are similar.
 
@@ -273,18 +317,24 @@ def jaccard_links(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCEN
     token = np.array([a for _, a in by_count], np.int64).view(np.uint64)
     order = np.argsort(token)
     heavy, rank = token[order], order.astype(np.int64)
-    entries = texts.where("doc_id IS NOT NULL").mapInArrow(lambda it: _prefix_rows(it, shingle, percent, heavy, rank), "token bigint, cls bigint, n int, pos int")
-    runs = stored(entries.repartition("token").sortWithinPartitions("token", "cls").mapInArrow(_run_rows, "token bigint, cls bigint, n int, pos int, pivot bigint"), "runs")
+    entries = texts.where("doc_id IS NOT NULL").mapInArrow(lambda it: _prefix_rows(it, shingle, percent, heavy, rank), RUN)
+    by_token = lambda df: df.repartition("token").sortWithinPartitions("token", "cls")
+    met = stored(by_token(entries).mapInArrow(lambda it: _run_rows(it, percent, False), RUN), "met")
+    often = met.groupBy("cls").agg(F.count("*").alias("c"), F.max("n").alias("n")).where(f"c >= 1 + floor(ceil({percent} * n / 100) * {MORE_PERCENT} / 100)").select("cls")
+    runs = stored(by_token(met.join(often, "cls", "left_semi")).mapInArrow(lambda it: _run_rows(it, percent, True), RUN), "runs")
     reps = docs_of.where("cls <> 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id")).join(runs.select("cls").distinct(), "cls", "left_semi")
     sets = stored(texts.join(reps, "doc_id").select("text", "cls").mapInArrow(lambda it: _set_rows(it, shingle), "cls bigint, tokens array<bigint>, bitmap binary"), "sets")
-    stars = runs.where("cls <> pivot").groupBy("cls", "pivot").agg(F.count("*").alias("c")).groupBy("cls").agg(F.max_by("pivot", F.struct("c", "pivot")).alias("v"))
-    links = stored(_verified(stars.select(F.col("cls").alias("u"), "v"), sets, percent), "links")
-    known = components(links)
-    placed = runs.join(known.withColumnRenamed("node", "cls"), "cls", "left").select("token", "cls", "n", "pos", F.coalesce("label", "cls").alias("comp"))
-    placed = stored(placed, "placed")
+    placed, links = runs.withColumn("comp", F.col("cls")), None
+    for k in range(ROUNDS):
+        more = stored(_verified(_pivot_pairs(placed, k, percent), sets, percent), "links")
+        links = more if links is None else links.unionByName(more)
+        known = components(links).withColumnRenamed("node", "cls")
+        placed = stored(runs.join(known, "cls", "left").select("token", "cls", "n", "pos", F.coalesce("label", "cls").alias("comp")), "placed")
     open_ = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-    left = placed.join(open_, "token", "left_semi").join(sets.select("cls", "bitmap"), "cls")
-    pairs = left.repartition("token").sortWithinPartitions("token", "cls").mapInArrow(lambda it: _tree_rows(it, percent), "u bigint, v bigint").distinct()
+    prefix = placed.groupBy("cls").agg(F.collect_list(F.struct("pos", "token")).alias("prefix"))  # a share of a set at most
+    earlier = F.transform(F.filter("prefix", lambda x: x["pos"] < F.col("pos")), lambda x: x["token"])
+    left = placed.join(open_, "token", "left_semi").join(sets.select("cls", "bitmap"), "cls").join(prefix, "cls").select("token", "cls", "n", "pos", "comp", "bitmap", earlier.alias("earlier"))
+    pairs = by_token(left).mapInArrow(lambda it: _tree_rows(it, percent), "u bigint, v bigint").distinct()
     more = stored(_verified(pairs, sets, percent), "links")
     return docs_of, links.unionByName(more)
 
