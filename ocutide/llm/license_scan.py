@@ -73,7 +73,7 @@ class Scanner:
 
     def best(self, unit: frozenset) -> tuple[float, str]:
         u, t = len(unit), self.t
-        found = [(-dice(unit, s), n) for s, n in zip(self.sets, self.names, strict=True) if u * t <= len(s) * (2 - t) and len(s) * t <= u * (2 - t)]
+        found = [(-dice(unit, s), n) for s, n in zip(self.sets, self.names, strict=True) if u * t <= len(s) * (2 - t) + 1e-9 and len(s) * t <= u * (2 - t) + 1e-9]
         score, name = min(found, default=(0.0, ""))
         return -score, name
 
