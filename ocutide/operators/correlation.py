@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 KINDS, ROWS, TAILS = ("Pearson", "Spearman", "Kendall"), ("all", "complete", "pairwise"), ("both", "right", "left")
 
@@ -50,12 +51,12 @@ def kendall_p(tau: float, n: float) -> float | None:
     return math.erfc(abs(tau) / math.sqrt(2 * (2 * n + 5) / (9 * n * (n - 1))) / math.sqrt(2))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _p_pearson(r: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([two_sided(a, b) for a, b in zip(r, n, strict=True)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _p_kendall(r: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([kendall_p(a, b) for a, b in zip(r, n, strict=True)], dtype="float64")
 
