@@ -166,3 +166,10 @@ def first_per_epoch(blinks: DataFrame, limit: int, order: str = "start_rel") ->
     """At most the first ``limit`` blinks of each epoch and channel."""
     w = W.partitionBy(*KEYS, "epoch_id").orderBy(order)
     return blinks.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= limit).drop("_k")
+
+
+def compare(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
+    """Keys of either table and where they are: left_only, right_only or both (C14)."""
+    a, b = left.select(*by).distinct().withColumn("_l", F.lit(True)), right.select(*by).distinct().withColumn("_r", F.lit(True))
+    side = F.when(F.col("_l").isNull(), "right_only").when(F.col("_r").isNull(), "left_only").otherwise("both")
+    return a.join(b, by, "full_outer").select(*by, side.alias("side"))

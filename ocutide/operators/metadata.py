@@ -101,6 +101,15 @@ def trough_middle(blinks: DataFrame) -> DataFrame:
     return blinks.withColumns({"refined_start_frame": F.col("start_rel"), "refined_peak_frame": middle, "refined_end_frame": F.col("end_rel")})
 
 
+def refine_annotations(ann: DataFrame, signals: DataFrame, seconds: float, sfreq: float, n: int) -> DataFrame:
+    """Annotations refined in the segment where they begin (E14): frames rounded half to even, then ``local_maximum``. ``signals``: keys, epoch_id, x."""
+    rel = F.col("onset") - F.col("epoch_id") * seconds
+    frame = lambda x: F.rint(x * sfreq).cast("bigint")
+    rows = ann.withColumn("epoch_id", F.floor(F.col("onset") / seconds)).join(signals.withColumnRenamed("x", "sig"), [*KEYS, "epoch_id"])
+    rows = rows.withColumns({"start_rel": frame(rel), "end_rel": frame(rel + F.col("duration")), "peak_rel": F.lit(None).cast("bigint")})
+    return local_maximum(rows, n)
+
+
 def refine_with(blinks: DataFrame, refine, by: list[str]) -> DataFrame:
     """Refinement by a user's function ``(signal, start, end, peak) -> (start, peak, end)`` (L1), in Arrow batches of blinks."""
     schema = ", ".join(f"`{c}` {t}" for c, t in blinks.select(*by).dtypes) + ", refined_start_frame bigint, refined_peak_frame bigint, refined_end_frame bigint"

@@ -794,3 +794,139 @@ def _(spark, d):
     x = w.join(features.epoch_signals(s, FRAMES).withColumnRenamed("x", "sig"), [*KEYS, "epoch_id"]).withColumn("peak_rel", F.lit(None).cast("bigint"))
     top = lambda sig, a, b, _: (a, a + int(sig[a : b + 1].argmax()), b)
     return metadata.refine_with(x, top, ["ch", "epoch_id", "start_rel"]).select("ch", "epoch_id", "start_rel", "refined_peak_frame")
+
+
+# -- parts of the above under their own names
+
+
+@query("B7_drop_missing", "SELECT ch, start_blink FROM zeros WHERE left_zero IS NOT NULL AND right_zero IS NOT NULL")
+def _(spark, d):
+    b, s = _blinks(spark, d)
+    return landmarks.zero_crossings(landmarks.find_peaks(b, s), s).dropna("any").select("ch", "start_blink")
+
+
+@query("C10_segment_rows", f"SELECT b.ch, start_blink, epoch_id AS seg_id FROM blinks AS b JOIN ep ON ep.ch = b.ch AND b.start_blink // {FRAMES} = epoch_id WHERE epoch_id < 3")
+def _(spark, d):
+    s = _own(_samples(spark, d))
+    b = _own(_blinks(spark, d)[0]).withColumn("seg_id", epochs.epoch_of(F.col("start_blink"), FRAMES))
+    return b.join(_epochs(s).where("epoch_id < 3").select("rec_id", F.col("epoch_id").alias("seg_id")), ["rec_id", "seg_id"]).select("ch", "start_blink", "seg_id")
+
+
+@query("C14_compare_tables", "SELECT ch, start_blink, CASE WHEN a.m IS NULL THEN 'right_only' WHEN b.m IS NULL THEN 'left_only' ELSE 'both' END AS side FROM (SELECT ch, start_blink, 1 AS m FROM cand) AS a FULL JOIN (SELECT ch, start_blink, 1 AS m FROM lines) AS b USING (ch, start_blink)")
+def _(spark, d):
+    f, s = _fitted(spark, d)
+    runs = detect.crossings(s, detect.thresholds(s, P)).where(F.col("end_blink") - F.col("start_blink") > P.min_event_len * P.sfreq)
+    return epochs.compare(runs.select("ch", "start_blink"), f.select("ch", "start_blink"), ["ch", "start_blink"])
+
+
+@query("E8_left_base", "SELECT ch, start_blink, mpv AS max_pos_vel_frame, left_base FROM based")
+def _(spark, d):
+    return _located(spark, d).select("ch", "start_blink", "max_pos_vel_frame", "left_base")
+
+
+@query("E9_right_base", "SELECT ch, start_blink, mnv AS max_neg_vel_frame, right_base FROM based")
+def _(spark, d):
+    return _located(spark, d).select("ch", "start_blink", "max_neg_vel_frame", "right_base")
+
+
+@query("E14_refine_annotations", f"""SELECT a.ch, a.start_blink, e.epoch_id, r.s AS refined_start_frame, (SELECT k FROM epx AS x WHERE x.ch = a.ch AND x.epoch_id = e.epoch_id AND k BETWEEN r.s AND r.e ORDER BY v DESC, k LIMIT 1) AS refined_peak_frame, r.e AS refined_end_frame
+  FROM ann AS a JOIN ep AS e ON e.ch = a.ch AND floor(onset / {SECONDS}) = e.epoch_id, LATERAL (SELECT least(greatest(CAST(round_even((onset - e.epoch_id * {SECONDS}) * 100.0, 0) AS BIGINT), 0), {FRAMES - 1}) AS s, least(greatest(CAST(round_even((onset - e.epoch_id * {SECONDS} + duration) * 100.0, 0) AS BIGINT), 0), {FRAMES - 1}) AS e) AS r""")
+def _(spark, d):
+    s = _own(_samples(spark, d))
+    out = metadata.refine_annotations(_ann(spark, d), features.epoch_signals(s, FRAMES), SECONDS, P.sfreq, FRAMES)
+    return out.select("ch", F.rint(F.col("onset") * 100).cast("bigint").alias("start_blink"), "epoch_id", "refined_start_frame", "refined_peak_frame", "refined_end_frame")
+
+
+@query("F5_intersection", "SELECT ch, start_blink, round((ri - li) / nullif(ls - rs, 0), 3) AS x, round(-li / nullif(ls, 0), 3) AS x_left FROM sides JOIN sides2 USING (ch, start_blink)")
+def _(spark, d):
+    f, _ = _fitted(spark, d)
+    left = -F.col("left_x_intercept") * F.col("left_slope")
+    x, _ = fit.intersection(F.col("left_slope"), left, F.col("right_slope"), -F.col("right_x_intercept") * F.col("right_slope"))
+    return f.select("ch", "start_blink", F.round(x, 3).alias("x"), F.round(fit.x_intercept(F.col("left_slope"), left), 3).alias("x_left"))
+
+
+@query("F8_good_ratio", f"SELECT ch, {rounded(['good_ratio'], 6)} FROM stats")
+def _(spark, d):
+    f, s = _fitted(spark, d)
+    return _round(channels.blink_statistics(f, s, P), ["good_ratio"], 6, ("ch",))
+
+
+def _part(name: str, of: str, columns: list[str], keep: tuple[str, ...] = ("ch",)) -> None:
+    """Some columns of a registered query."""
+    whole, text = QUERIES[of], ORACLE[of]
+    QUERIES[name] = lambda spark, d: whole(spark, d).select(*keep, *columns)
+    ORACLE[name] = f"SELECT {', '.join((*keep, *columns))} FROM ({text})"
+
+
+_part("F14_permutation_entropy", "F13_interval_features", ["ibi_permutation_entropy"])
+_part("F15_hurst_exponent", "F13_interval_features", ["ibi_hurst_exponent"])
+for _name, _columns in {
+    "H3_amp_vel_ratio_zero": ["pos_amp_vel_ratio_zero", "neg_amp_vel_ratio_zero"],
+    "H4_amp_vel_ratio_base": ["pos_amp_vel_ratio_base", "neg_amp_vel_ratio_base"],
+    "H6_closing_times": ["closing_time_zero", "reopening_time_zero"],
+    "H7_time_shut_base": ["time_shut_base"],
+    "H10_peaks": ["peak_max_blink", "peak_time_blink"],
+    "H11_interval_to_next": ["inter_blink_max_amp"],
+    "H12_velocity_times": ["inter_blink_max_vel_base", "inter_blink_max_vel_zero"],
+}.items():
+    _part(_name, "H1_properties", _columns, ("ch", "start_blink"))
+for _name, _columns in {
+    "H5_amp_vel_ratio_tent": ["neg_amp_vel_ratio_tent", "pos_amp_vel_ratio_tent"],
+    "H8_tent_times": ["closing_time_tent", "reopening_time_tent"],
+    "H9_time_shut_tent": ["time_shut_tent"],
+}.items():
+    _part(_name, "H2_fitted_properties", _columns, ("ch", "start_blink"))
+
+
+@query("F21_group_by_epoch", f"SELECT ch, epoch_id, count(*) AS n_blinks, min(start_rel) AS first_start FROM ow WHERE epoch_id < 4 GROUP BY ALL")
+def _(spark, d):
+    w, _ = _windows_in_epochs(spark, d)
+    return w.where("epoch_id >= 0 AND epoch_id < 4").groupBy("ch", "epoch_id").agg(F.count("*").alias("n_blinks"), F.min("start_rel").alias("first_start"))
+
+
+@query("G2_windows", "SELECT ch, epoch_id, unnest(blink_onset) AS onset, unnest(blink_duration) AS duration FROM mapped")
+def _(spark, d):
+    return metadata.windows(_mapped(spark, d)[0], F.lit("ear")).select("ch", "epoch_id", "onset", "duration")
+
+
+@query("G3_sample_windows", "SELECT ch, epoch_id, win_start, win_stop - win_start AS frames FROM win")
+def _(spark, d):
+    m, _ = _mapped(spark, d)
+    w = metadata.sample_windows(metadata.windows(m, F.lit("ear")), P.sfreq, FRAMES)
+    return w.select("ch", "epoch_id", "win_start", (F.col("win_stop") - F.col("win_start")).alias("frames"))
+
+
+@query("G8_kinematics_wide", "SELECT ep.epoch_id, " + ", ".join(f"round(max(p) FILTER (ep.ch = '{c}'), 4) AS peak_amp_mean_{c}" for c in ("click", "view")) + f" FROM ep LEFT JOIN (SELECT ch, epoch_id, avg({_KIN['peak_amp']}) AS p FROM wx GROUP BY ALL) AS w USING (ch, epoch_id) GROUP BY ep.epoch_id")
+def _(spark, d):
+    w, s = _window_signals(spark, d)
+    every = _epochs(s).select("rec_id", F.col("rec_id").alias("ch"), "epoch_id")
+    table = features.epoch_table(w, every, kernels.kinematics, P.sfreq).withColumn("rec_id", F.lit("events"))
+    out = features.wide(table, ["click", "view"], ["peak_amp_mean"])
+    return _round(out, ["peak_amp_mean_click", "peak_amp_mean_view"], 4, ("epoch_id",))
+
+
+@query("G10_epoch_morphology", _stats({"peak_to_peak": "CASE WHEN len(x) >= 3 THEN list_max(x) - list_min(x) END", "duration": "duration"}, 5))
+def _(spark, d):
+    return _table(spark, d, features.morphology_with_duration, 5, ["peak_to_peak", "duration"])
+
+
+@query("I3_epochs_with_events", "SELECT ch, epoch_id, count(*) AS n_blinks FROM ow GROUP BY ALL")
+def _(spark, d):
+    return _windows_in_epochs(spark, d)[0].groupBy("ch", "epoch_id").agg(F.count("*").alias("n_blinks"))
+
+
+@query("I4_mini_segments", f"SELECT l.ch, e.epoch_id, printf('epoch_%04d_%07.2fs-%07.2fs_raw', e.epoch_id, epoch_id * {SECONDS}, least((epoch_id + 1) * {FRAMES}, n - 1) / 100.0) AS name FROM len AS l, (SELECT unnest(range(10000)) AS epoch_id) AS e WHERE epoch_id < ceil((n - 1) / {FRAMES})")
+def _(spark, d):
+    e = epochs.all_epochs(landmarks.channel_lengths(_samples(spark, d)).select(F.col("ch").alias("rec_id"), "n"), FRAMES)
+    return e.select(F.col("rec_id").alias("ch"), "epoch_id", epochs.segment_name(F.col("epoch_id"), F.col("start_i") / P.sfreq, F.col("end_i") / P.sfreq).alias("name"))
+
+
+@query("I7_refined_segments", f"SELECT a.ch, CAST(floor(onset / {SECONDS}) AS BIGINT) AS epoch_id, count(*) AS n, CAST(sum(k) AS BIGINT) AS places FROM (SELECT *, row_number() OVER (PARTITION BY ch, floor(onset / {SECONDS}) ORDER BY onset) AS k FROM ann) AS a JOIN ep ON ep.ch = a.ch AND ep.epoch_id = floor(onset / {SECONDS}) GROUP BY ALL")
+def _(spark, d):
+    s = _own(_samples(spark, d))
+    ann = _ann(spark, d)
+    refined = metadata.refine_annotations(ann, features.epoch_signals(s, FRAMES), SECONDS, P.sfreq, FRAMES)
+    both = epochs.zip_by_place(refined.select("ch", "epoch_id", "onset"), ann.withColumn("epoch_id", F.floor(F.col("onset") / SECONDS)).select("ch", "epoch_id", "onset", "label"), ["ch", "epoch_id"], "onset")
+    from pyspark.sql import Window as W
+
+    return both.withColumn("k", F.row_number().over(W.partitionBy("ch", "epoch_id").orderBy("onset"))).groupBy("ch", "epoch_id").agg(F.count("*").alias("n"), F.sum("k").cast("bigint").alias("places"))
