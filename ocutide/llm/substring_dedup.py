@@ -1,7 +1,10 @@
 """Substring deduplication by sliding sentence spans.
 
-Sentences end at ``.``, ``!`` or ``?`` before white space, at a newline and at
-the end of the text.  Every run of ``RUN`` consecutive sentences is hashed over its
+Sentences end at ``.``, ``!`` or ``?`` before white space, at a newline and at the
+end of the text.  Their clauses, which end at ``,``, ``;`` or ``:`` before white space,
+count as sentences too, and one of more than ``LONG`` words is cut before the words
+whose hash is divisible by ``CUT``: a passage of few long sentences still has several,
+and the cuts depend on its own words only.  Every run of ``RUN`` consecutive sentences is hashed over its
 lower-cased words; a run of fewer than ``MIN_WORDS`` words is stretched by further
 sentences until it has as many.  Hashes are joined across the whole corpus, and
 each sentence covered by a run that isn't its first occurrence (smallest doc_id,
@@ -27,9 +30,10 @@ from pyspark.sql import functions as F
 
 from ocutide.llm.textbatch import _BASE, _SPACE, TextBatch, chunks, mix, span_hashes
 
-RUN, MIN_WORDS = 3, 12
+RUN, MIN_WORDS = 3, 20
+LONG, CUT = 24, 8
 _STOP = np.zeros(256, bool)
-_STOP[list(b".!?")] = True
+_STOP[list(b".!?,;:")] = True
 
 
 def sentences(b: TextBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -50,6 +54,16 @@ def sentences(b: TextBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     first = np.concatenate([[0], last[:-1]])
     real = last > first
     stop, doc, first, last = stop[real], doc[real], first[real], last[real]
+    if len(first) and (last - first > LONG).any():
+        inside = np.repeat(last - first > LONG, last - first) & ((b.hash >> np.uint64(20)) % np.uint64(CUT) == 0)
+        inside[first] = False
+        at = np.flatnonzero(inside)
+        starts = np.sort(np.concatenate([first, at]))
+        ends = np.concatenate([starts[1:], [len(b.hash)]])
+        whole = np.isin(ends, last)
+        stops = b.starts[np.minimum(ends, len(b.starts) - 1)]
+        stops[whole] = stop
+        stop, doc, first, last = stops, b.doc[starts], starts, ends
     return stop, doc, first, last, span_hashes(b.hash, first, last)
 
 

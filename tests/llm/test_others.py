@@ -32,13 +32,13 @@ def test_repeats_within_one_text(docs):
 def test_repeats_against_plain_python(docs):
     rng = random.Random(2)
     words = ["alpha", "beta", "gamma", "delta"]
-    t = [" ".join(" ".join(rng.choice(words) for _ in range(rng.randrange(1, 6))) + rng.choice([".", "!", ".\n"]) for _ in range(rng.randrange(25))) for _ in range(40)]
+    t = [" ".join(" ".join(rng.choice(words) for _ in range(rng.randrange(1, 6))) + rng.choice([".", "!", ",", ".\n"]) for _ in range(rng.randrange(25))) for _ in range(60)]
 
     def sentences(x):
         out, cur = [], ""
         for i, c in enumerate(x):
             cur += c
-            if c == "\n" or c in ".!?" and i + 1 < len(x) and x[i + 1] in " \t\n\x0b\x0c\r" or i + 1 == len(x):
+            if c == "\n" or c in ".!?,;:" and i + 1 < len(x) and x[i + 1] in " \t\n\x0b\x0c\r" or i + 1 == len(x):
                 if cur.split():
                     out.append(tuple(cur.split()))
                 cur = ""
