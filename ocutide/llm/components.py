@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ocutide.llm.storage import stored
+from ocutide.llm.storage import discard, stored
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -33,6 +33,7 @@ def components(edges: DataFrame) -> DataFrame:
         if now == mark:
             break
         mark = now
-        cur = stored(_small(_large(cur)), "edges")
+        old, cur = cur, stored(_small(_large(cur)), "edges")
+        discard(old)
     # every edge now leads from a node to the smallest of its component
     return cur.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(cur.select(F.col("v").alias("node"), F.col("v").alias("label"))).distinct()

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ocutide.llm.components import components
-from ocutide.llm.storage import stored
+from ocutide.llm.storage import discard, stored
 from ocutide.llm.textbatch import _BASE, TextBatch, chunks, mix, windows
 
 SHINGLE, PERCENT = 4, 85
@@ -322,6 +322,7 @@ def jaccard_links(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCEN
     met = stored(by_token(entries).mapInArrow(lambda it: _run_rows(it, percent, False), RUN), "met")
     often = met.groupBy("cls").agg(F.count("*").alias("c"), F.max("n").alias("n")).where(f"c >= 1 + floor(ceil({percent} * n / 100) * {MORE_PERCENT} / 100)").select("cls")
     runs = stored(by_token(met.join(often, "cls", "left_semi")).mapInArrow(lambda it: _run_rows(it, percent, True), RUN), "runs")
+    discard(met)
     reps = docs_of.where("cls <> 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id")).join(runs.select("cls").distinct(), "cls", "left_semi")
     sets = stored(texts.join(reps, "doc_id").select("text", "cls").mapInArrow(lambda it: _set_rows(it, shingle), "cls bigint, tokens array<bigint>, bitmap binary"), "sets")
     placed, links = runs.withColumn("comp", F.col("cls")), None
@@ -329,13 +330,16 @@ def jaccard_links(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCEN
         more = stored(_verified(_pivot_pairs(placed, k, percent), sets, percent), "links")
         links = more if links is None else links.unionByName(more)
         known = components(links).withColumnRenamed("node", "cls")
+        old = placed
         placed = stored(runs.join(known, "cls", "left").select("token", "cls", "n", "pos", F.coalesce("label", "cls").alias("comp")), "placed")
+        discard(old)
     open_ = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
     prefix = placed.groupBy("cls").agg(F.collect_list(F.struct("pos", "token")).alias("prefix"))  # a share of a set at most
     earlier = F.transform(F.filter("prefix", lambda x: x["pos"] < F.col("pos")), lambda x: x["token"])
     left = placed.join(open_, "token", "left_semi").join(sets.select("cls", "bitmap"), "cls").join(prefix, "cls").select("token", "cls", "n", "pos", "comp", "bitmap", earlier.alias("earlier"))
     pairs = by_token(left).mapInArrow(lambda it: _tree_rows(it, percent), "u bigint, v bigint").distinct()
     more = stored(_verified(pairs, sets, percent), "links")
+    discard(placed, runs, sets)
     return docs_of, links.unionByName(more)
 
 

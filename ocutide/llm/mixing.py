@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ocutide.llm.storage import stored
+from ocutide.llm.storage import discard, stored
 
 DIMS = ("source", "lang", "topic")
 POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.8}
@@ -68,7 +68,9 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS)
         for d in DIMS:
             factor = cur.groupBy(d).agg(F.sum("w").alias("m")).join(targets[d], d).select(d, (F.col("target") / F.col("m")).alias("f"))
             # each step reads its table twice, so it is written: plans stay of one size
+            old = cur
             cur = stored(cur.join(factor, d).select(*DIMS, "natural", (F.col("w") * F.col("f")).alias("w")), "raked")
+            discard(old)
     return cur
 
 
