@@ -21,7 +21,7 @@ def channel_blinks(samples: DataFrame, p: Params) -> tuple[DataFrame, DataFrame]
     # kept at the stages that several later ones read: else each would search the signal again
     located = landmarks.locate(detect.detect_blinks(samples, p).persist(), samples).persist()
     fitted = fit.fit_blinks(located, p.base_fraction).persist()
-    stats = channels.blink_statistics(fitted, samples, p)
+    stats = channels.blink_statistics(fitted, samples, p).persist()
     kept = channels.keep_good(fitted, stats, p).persist()
     done = properties.fitted(properties.unfitted(kept, p), p)
     return channels.restrict_ratio(done, p), stats

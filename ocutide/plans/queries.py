@@ -452,7 +452,7 @@ def _(spark, d):
 
 
 @query("F4_polyval", """WITH x AS (SELECT ps AS k, CAST(row_number() OVER (PARTITION BY ps ORDER BY p_partkey) AS DOUBLE) AS a, p_retailprice AS b FROM (SELECT *, p_partkey % 3 AS ps FROM part)),
-f AS (SELECT k, regr_slope(b, a) AS s, regr_intercept(b, a) AS i, avg(a) AS mu, stddev_samp(a) AS sg, count(*) AS n, sqrt(regr_syy(b, a) - regr_sxy(b, a) ** 2 / regr_sxx(b, a)) AS nr FROM x GROUP BY k)
+f AS (SELECT k, regr_slope(b, a) AS s, regr_intercept(b, a) AS i, avg(a) AS mu, stddev_samp(a) AS sg, count(*) AS n, sqrt(greatest(regr_syy(b, a) - regr_sxy(b, a) ** 2 / regr_sxx(b, a), 0)) AS nr FROM x GROUP BY k)
 SELECT k, a AS x, round(s * a + i, 4) AS y_fit, round(nr / sqrt(n - 2) * sqrt(1 + 1.0 / n + ((a - mu) / sg) ** 2 / (n - 1)), 4) AS delta FROM x JOIN f USING (k)""")
 def _(spark, d):
     from pyspark.sql import Window as W
