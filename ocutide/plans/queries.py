@@ -930,3 +930,14 @@ def _(spark, d):
     from pyspark.sql import Window as W
 
     return both.withColumn("k", F.row_number().over(W.partitionBy("ch", "epoch_id").orderBy("onset"))).groupBy("ch", "epoch_id").agg(F.count("*").alias("n"), F.sum("k").cast("bigint").alias("places"))
+
+
+@query("K1_stream_window_counts", """WITH w AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS s, event_type, count(*) AS n FROM events GROUP BY ALL), m AS (SELECT max(ts) - INTERVAL 10 MINUTE AS mark FROM events)
+SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS start, event_type, n FROM w, m WHERE s + INTERVAL 1 HOUR <= mark""")
+def _(spark, d):
+    from ocutide.streaming.detect import counts_by_window, run_to_end
+
+    schema = _read(spark, d, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d).withColumn("ts", F.col("ts").cast("timestamp"))
+    out = run_to_end(counts_by_window(stream, "ts", "1 hour", "10 minutes"), "counts")
+    return out.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n")

@@ -8,6 +8,7 @@ but for those too near to the end of the stream to be known.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -74,3 +75,12 @@ def detect_stream(samples: DataFrame, thresholds: DataFrame, p: Params) -> DataF
 def counts_by_window(events: DataFrame, time: str = "ts", width: str = "30 seconds", late: str = "10 seconds", by: tuple[str, ...] = ("event_type",)) -> DataFrame:
     """Events per tumbling window of event time, closed by a watermark."""
     return events.withWatermark(time, late).groupBy(F.window(time, width), *by).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), *by, "n")
+
+
+def run_to_end(stream: DataFrame, name: str = "stream") -> DataFrame:
+    """What a stream puts out over the data that is there, through files in the cluster's shared folder."""
+    spark = stream.sparkSession
+    place = f"{(spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints').rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    q = stream.writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{place}/out")
