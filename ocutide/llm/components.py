@@ -8,32 +8,46 @@ from pyspark.sql import functions as F
 from ocutide.llm.storage import discard, stored
 
 
-def _large(edges: DataFrame) -> DataFrame:
+#: Rows to a task at least: a small table dealt to many tasks costs more in shuffle files than in work.
+ROWS = 200_000
+
+
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, of about so many rows, in as many partitions as that takes."""
+    return df.coalesce(2 + rows // ROWS)
+
+
+def _large(edges: DataFrame, n: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = few(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), n)
+    return few(both.where("v > u").join(least, "u"), n).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small(edges: DataFrame) -> DataFrame:
+def _small(edges: DataFrame, n: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    near = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = few(down.groupBy("u").agg(F.min("v").alias("m")), n)
+    near = few(down.join(least, "u"), n).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return near.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
+def _put(edges: DataFrame, n: int) -> DataFrame:
+    return stored(few(edges, n), "edges")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Each node of ``edges`` (u, v) with the smallest node of its component: node, label.
 
     A round moves the edges four times; their number does not grow, and the number
     of rounds is about the logarithm of the longest path.
     """
-    cur, mark = stored(_small(edges), "edges"), None
+    n = edges.count()
+    cur, mark = _put(_small(edges, n), n), None
     while True:
         now = cur.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v") % (1 << 40)), F.lit(0))).first()
         if now == mark:
             break
         mark = now
-        old, cur = cur, stored(_small(_large(cur)), "edges")
+        old, cur = cur, _put(_small(_large(cur, n), n), n)
         discard(old)
     # every edge now leads from a node to the smallest of its component
     return cur.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(cur.select(F.col("v").alias("node"), F.col("v").alias("label"))).distinct()

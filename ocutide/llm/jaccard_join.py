@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ocutide.llm.components import components
+from ocutide.llm.components import components, few
 from ocutide.llm.storage import discard, stored
 from ocutide.llm.textbatch import _BASE, TextBatch, chunks, mix, windows
 
@@ -294,14 +294,14 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 RUN = "token bigint, cls bigint, n int, pos int"
 
 
-def _pivot_pairs(placed: DataFrame, k: int, percent: int) -> DataFrame:
+def _pivot_pairs(placed: DataFrame, k: int, percent: int, n: int) -> DataFrame:
     """For each class the pivot of another component that it meets most, if it may be similar; the pivots of runs change with the round k."""
-    pivot = placed.groupBy("token").agg(F.min_by(F.struct("cls", "n", "pos", "comp"), F.xxhash64("cls", F.lit(k))).alias("p"))
-    both = placed.join(pivot, "token").where(F.col("comp") != F.col("p.comp"))
+    pivot = few(placed.groupBy("token").agg(F.min_by(F.struct("cls", "n", "pos", "comp"), F.xxhash64("cls", F.lit(k))).alias("p")), n)
+    both = few(placed.join(pivot, "token"), n).where(F.col("comp") != F.col("p.comp"))
     left = F.least(F.col("n") - F.col("pos"), F.col("p.n") - F.col("p.pos"))
     both = both.where(100 * F.least("n", "p.n") >= percent * F.greatest("n", "p.n")).where((100 + percent) * left >= percent * (F.col("n") + F.col("p.n")))
-    counts = both.groupBy("cls", F.col("p.cls").alias("pivot")).agg(F.count("*").alias("c"))
-    return counts.groupBy("cls").agg(F.max_by("pivot", F.struct("c", "pivot")).alias("v")).select(F.col("cls").alias("u"), "v")
+    counts = few(both.groupBy("cls", F.col("p.cls").alias("pivot")).agg(F.count("*").alias("c")), n)
+    return few(counts.groupBy("cls").agg(F.max_by("pivot", F.struct("c", "pivot")).alias("v")), n).select(F.col("cls").alias("u"), "v")
 
 
 def jaccard_links(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -325,15 +325,15 @@ def jaccard_links(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCEN
     discard(met)
     reps = docs_of.where("cls <> 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id")).join(runs.select("cls").distinct(), "cls", "left_semi")
     sets = stored(texts.join(reps, "doc_id").select("text", "cls").mapInArrow(lambda it: _set_rows(it, shingle), "cls bigint, tokens array<bigint>, bitmap binary"), "sets")
-    placed, links = runs.withColumn("comp", F.col("cls")), None
+    placed, links, n = runs.withColumn("comp", F.col("cls")), None, runs.count()
     for k in range(ROUNDS):
-        more = stored(_verified(_pivot_pairs(placed, k, percent), sets, percent), "links")
+        more = stored(_verified(_pivot_pairs(placed, k, percent, n), sets, percent), "links")
         links = more if links is None else links.unionByName(more)
         known = components(links).withColumnRenamed("node", "cls")
         old = placed
-        placed = stored(runs.join(known, "cls", "left").select("token", "cls", "n", "pos", F.coalesce("label", "cls").alias("comp")), "placed")
+        placed = stored(few(runs.join(known, "cls", "left"), n).select("token", "cls", "n", "pos", F.coalesce("label", "cls").alias("comp")), "placed")
         discard(old)
-    open_ = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
+    open_ = few(placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")), n).where("lo <> hi").select("token")
     prefix = placed.groupBy("cls").agg(F.collect_list(F.struct("pos", "token")).alias("prefix"))  # a share of a set at most
     earlier = F.transform(F.filter("prefix", lambda x: x["pos"] < F.col("pos")), lambda x: x["token"])
     left = placed.join(open_, "token", "left_semi").join(sets.select("cls", "bitmap"), "cls").join(prefix, "cls").select("token", "cls", "n", "pos", "comp", "bitmap", earlier.alias("earlier"))

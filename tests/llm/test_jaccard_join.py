@@ -34,7 +34,7 @@ def test_against_all_pairs(docs):
 
 
 def test_without_pivots_the_tree_finds_all(docs, monkeypatch):
-    monkeypatch.setattr(J, "_pivot_pairs", lambda placed, k, percent: placed.where("false").select(F.col("cls").alias("u"), F.col("cls").alias("v")))
+    monkeypatch.setattr(J, "_pivot_pairs", lambda placed, k, percent, n: placed.where("false").select(F.col("cls").alias("u"), F.col("cls").alias("v")))
     monkeypatch.setattr(J, "LEAF", 2)
     t = corpus(12, 4)
     assert result(J.jaccard_components(docs(t))) == components(list(enumerate(t)))
