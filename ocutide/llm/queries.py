@@ -8,14 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ocutide.llm import chat_format, decontaminate, jaccard_join, license_scan, mixing, quality_rules, secret_scan, substring_dedup, token_counts, toxicity
-
-
-#: Rows of an Arrow batch: texts can be long, and a batch is held twice.
-BATCH_ROWS = 1000
+from ocutide.llm.storage import small_batches
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -4,12 +4,21 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 #: Only where a session names no folder, as in local tests.
 LOCAL = "/tmp/checkpoints"
 
 
+#: Rows of an Arrow batch: texts can be long, and a batch is held by the executor and its Python worker at once.
+BATCH_ROWS = 500
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of what the session plans from now on."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def shared_folder(df: DataFrame) -> str:
     spark = df.sparkSession
     return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or LOCAL
