@@ -19,16 +19,18 @@ from ocutide.llm.jaccard_join import jaccard_components
 from ocutide.llm.mixing import mix
 from ocutide.llm.quality_rules import keep_good
 from ocutide.llm.secret_scan import redact
-from ocutide.llm.storage import stored
+from ocutide.llm.storage import small_batches, stored
 
 
 def good_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the word rules and the fertility bands."""
+    small_batches(spark)
     return keep_good(docs.where("doc_id IS NOT NULL"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near duplicates the document of the smallest doc_id."""
+    small_batches(spark)
     first = jaccard_components(docs).where("doc_id = component_id").select("doc_id").distinct()
     row = F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
     return docs.join(first, "doc_id", "left_semi").withColumn("_row", row).where("_row = 1").select(*docs.columns)
