@@ -416,10 +416,19 @@ _LINE = "FROM lineitem WHERE l_partkey <= 40"
 
 @query("F2_pearson", f"WITH x AS (SELECT l_partkey AS k, l_quantity AS a, l_extendedprice AS b {_LINE}) SELECT k, count(*) AS n, round(CASE WHEN count(*) > 1 THEN corr(a, b) END, 6) AS r FROM x GROUP BY k")
 def _(spark, d):
-    x = _read(spark, d, "lineitem").where("l_partkey <= 40").select(F.col("l_partkey").alias("k"), F.col("l_quantity").alias("a"), F.col("l_extendedprice").alias("b"))
+    return _pearson(_read(spark, d, "lineitem").where("l_partkey <= 40"))
+
+
+def _pearson(lines: DataFrame) -> DataFrame:
+    x = lines.select(F.col("l_partkey").alias("k"), F.col("l_quantity").alias("a"), F.col("l_extendedprice").alias("b"))
     return _round(correlation.corr(x, ["k"], "a", "b"), ["r"], 6, ("k", "n"))
 
 
+@query("F2_pearson_whole", "WITH x AS (SELECT l_partkey AS k, l_quantity AS a, l_extendedprice AS b FROM lineitem) SELECT k, count(*) AS n, round(CASE WHEN count(*) > 1 THEN corr(a, b) END, 6) AS r FROM x GROUP BY k")
+def _(spark, d):
+    return _pearson(_read(spark, d, "lineitem"))
+
+
 def _rank(c: str) -> str:
     return f"rank() OVER (PARTITION BY k ORDER BY {c}) + (count(*) OVER (PARTITION BY k, {c}) - 1) / 2.0"
 
@@ -434,10 +443,19 @@ def _(spark, d):
 p AS (SELECT x.k, sum(sign(y.a - x.a) * sign(y.b - x.b)) AS s, count(*) FILTER (x.a <> y.a) AS na, count(*) FILTER (x.b <> y.b) AS nb FROM x JOIN x AS y ON x.k = y.k AND x.id < y.id GROUP BY x.k)
 SELECT k, n, round(s / nullif(sqrt(CAST(na AS DOUBLE) * nb), 0), 6) AS r FROM (SELECT k, count(*) AS n FROM x GROUP BY k) LEFT JOIN p USING (k)""")
 def _(spark, d):
-    x = _read(spark, d, "lineitem").where("l_partkey <= 40").select(F.col("l_partkey").alias("k"), F.col("l_quantity").alias("a"), F.col("l_discount").alias("b"))
+    return _kendall(_read(spark, d, "lineitem").where("l_partkey <= 40"))
+
+
+def _kendall(lines: DataFrame) -> DataFrame:
+    x = lines.select(F.col("l_partkey").alias("k"), F.col("l_quantity").alias("a"), F.col("l_discount").alias("b"))
     return _round(correlation.corr(x, ["k"], "a", "b", "Kendall"), ["r"], 6, ("k", "n"))
 
 
+@query("F2_kendall_whole")
+def _(spark, d):
+    return _kendall(_read(spark, d, "lineitem"))
+
+
 @query("F3_weighted_corr", "WITH x AS (SELECT l_suppkey % 5 AS k, l_quantity AS a, l_extendedprice AS b, l_tax + 0.01 AS w FROM lineitem), m AS (SELECT k, sum(w * a) / sum(w) AS ma, sum(w * b) / sum(w) AS mb FROM x GROUP BY k) SELECT k, round(sum(w * (a - ma) * (b - mb)) / sqrt(sum(w * (a - ma) * (a - ma)) * sum(w * (b - mb) * (b - mb))), 6) AS r FROM x JOIN m USING (k) GROUP BY k")
 def _(spark, d):
     x = _read(spark, d, "lineitem").select((F.col("l_suppkey") % 5).alias("k"), F.col("l_quantity").alias("a"), F.col("l_extendedprice").alias("b"), (F.col("l_tax") + 0.01).alias("w"))
@@ -692,10 +710,19 @@ def _dwt() -> str:
 
 @query("G11_wavelet_energy", _dwt())
 def _(spark, d):
-    e = _read(spark, d, "embeddings").where("vec_id < 40").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
+    return _wavelet_energies(_read(spark, d, "embeddings").where("vec_id < 40"))
+
+
+def _wavelet_energies(vectors: DataFrame) -> DataFrame:
+    e = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
     return _round(wavelet.with_energies(e, "x", P.sfreq, ["vec_id"]), [f"detail_energy_L{k}" for k in range(1, 5)], 6, ("vec_id",))
 
 
+@query("G11_wavelet_energy_whole")
+def _(spark, d):
+    return _wavelet_energies(_read(spark, d, "embeddings"))
+
+
 @query("G12_frequency_features")
 def _(spark, d):
     w, s = _window_signals(spark, d)
