@@ -1,14 +1,19 @@
-"""Substring deduplication by sliding sentence spans.
+"""Substring deduplication by sliding spans of clauses and their pieces.
 
 Sentences end at ``.``, ``!`` or ``?`` before white space, at a newline and at the
-end of the text.  Their clauses, which end at ``,``, ``;`` or ``:`` before white space,
-count as sentences too, and one of more than ``LONG`` words is cut before the words
-whose hash is divisible by ``CUT``: a passage of few long sentences still has several,
-and the cuts depend on its own words only.  Every run of ``RUN`` consecutive sentences is hashed over its
-lower-cased words; a run of fewer than ``MIN_WORDS`` words is stretched by further
-sentences until it has as many.  Hashes are joined across the whole corpus, and
-each sentence covered by a run that isn't its first occurrence (smallest doc_id,
-then earliest place) is removed.
+end of the text; their clauses, which end at ``,``, ``;`` or ``:`` before white space,
+count as sentences too.  For the search each is cut into pieces before every word
+whose hash is the least of ``NEAR`` words to either side (equals all count, so repeated
+words are cut as well): a cut depends on its neighbours only, whatever the clause
+around it, so a passage that begins and ends in mid-sentence has the same cuts
+everywhere but for ``NEAR`` words at its edges.  From every piece a run goes to the
+first end of a piece that makes it ``RUN`` pieces and ``MIN_WORDS`` words or more; to
+every end of a sentence another comes from the last such start, so that nothing is
+left over there.  A run is hashed over its lower-cased words, whatever the cuts
+inside it.  Hashes are joined across the whole corpus, and each piece covered by a run
+that isn't its first occurrence (smallest doc_id, then earliest place) is removed;
+``n_removed`` counts the sentences that lose words.  Up to ``NEAR`` words of a sentence
+that keeps others stay.
 
 Shuffles: (hash, doc_id) once to find the first occurrence of repeated runs, which
 is combined before the shuffle, and once for the join, in which a hot run is an
@@ -28,19 +33,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ocutide.llm.textbatch import _BASE, _SPACE, TextBatch, chunks, mix, span_hashes
+from ocutide.llm.textbatch import _BASE, _SPACE, TextBatch, chunks, mix
 
-RUN, MIN_WORDS = 3, 20
-LONG, CUT = 24, 8
+RUN, MIN_WORDS = 2, 20
+#: Words to either side among which the word after a cut has the least hash.
+NEAR = 4
 _STOP = np.zeros(256, bool)
 _STOP[list(b".!?,;:")] = True
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 
 def sentences(b: TextBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each sentence that has a word: end byte (past its white space up to the next line), text, first word, end word, hash."""
+    """Of each sentence that has a word: end byte (past its white space up to the next line), text, first word, end word, whether it ends more than a clause."""
     n = len(b.data)
     if not n:
-        return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),)
+        return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, bool),)
     b.words(lower=True)
     edge = np.zeros(n + 1, bool)
     edge[b.offsets] = True
@@ -52,40 +59,70 @@ def sentences(b: TextBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     doc = np.searchsorted(b.offsets, stop - 1, "right") - 1
     last = np.searchsorted(b.starts, stop, "left")
     first = np.concatenate([[0], last[:-1]])
+    # a line or text may end in white space after its last stop
+    full = edge[stop] | (np.isin(b.data, list(b".!?\n")))[stop - 1]
     real = last > first
-    stop, doc, first, last = stop[real], doc[real], first[real], last[real]
-    if len(first) and (last - first > LONG).any():
-        inside = np.repeat(last - first > LONG, last - first) & ((b.hash >> np.uint64(20)) % np.uint64(CUT) == 0)
-        inside[first] = False
-        at = np.flatnonzero(inside)
-        starts = np.sort(np.concatenate([first, at]))
-        ends = np.concatenate([starts[1:], [len(b.hash)]])
-        whole = np.isin(ends, last)
-        stops = b.starts[np.minimum(ends, len(b.starts) - 1)]
-        stops[whole] = stop
-        stop, doc, first, last = stops, b.doc[starts], starts, ends
-    return stop, doc, first, last, span_hashes(b.hash, first, last)
+    owner = np.cumsum(real) - 1
+    total = np.zeros(int(real.sum()), bool)
+    total[owner[full & (owner >= 0)]] = True
+    return stop[real], doc[real], first[real], last[real], total
+
+
+def cuts(b: TextBatch) -> np.ndarray:
+    """Whether the hash of each word is the least of its neighbourhood within its text."""
+    least = np.ones(len(b.hash), bool)
+    for d in range(1, NEAR + 1):
+        other = b.doc[d:] != b.doc[:-d]
+        least[d:] &= other | (b.hash[d:] <= b.hash[:-d])
+        least[:-d] &= other | (b.hash[:-d] <= b.hash[d:])
+    return least
+
+
+def pieces(b: TextBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each piece of a sentence: end byte, text, first word, end word, index of its sentence, whether a sentence (more than a clause) ends with it."""
+    stop, doc, first, last, full = sentences(b)
+    if not len(first):
+        return stop, doc, first, last, first, full
+    begins = cuts(b)
+    begins[first] = True
+    start = np.flatnonzero(begins)
+    end = np.append(start[1:], len(b.hash))
+    of = np.searchsorted(first, start, "right") - 1
+    whole = end == last[of]
+    return np.where(whole, stop[of], b.starts[np.minimum(end, len(b.starts) - 1)]), doc[of], start, end, of, whole & full[of]
+
+
+def _prefix_sums(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums of words times powers of the base, and the inverse powers: a span's hash in one step."""
+    powers, inverse = np.full(len(h), _BASE), np.full(len(h) + 1, _INVERSE)
+    powers[:1] = inverse[:1] = 1
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * np.cumprod(powers))]), np.cumprod(inverse)
 
 
 def runs(b: TextBatch, run: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, text, first sentence (within the text) and number of sentences of each run; and nothing of texts too short for one."""
-    _, doc, first, last, h = sentences(b)
-    m = len(h)
+    """Hash, text, first piece (within the text) and number of pieces of each run, by place; and nothing of texts too short for one."""
+    _, doc, first, last, _, full = pieces(b)
+    m = len(first)
     if not m:
         return np.zeros(0, np.uint64), doc, doc, doc
     start = np.searchsorted(doc, doc, "left")
     stop = np.searchsorted(doc, doc, "right")
     i = np.arange(m)
-    # the least end with enough sentences and enough words
+    # the least end with enough pieces and enough words
     end = np.maximum(i + run, np.searchsorted(last, first + min_words, "left") + 1)
     ok = end <= stop
-    i, end = i[ok], end[ok]
-    size = end - i
-    out = np.zeros(len(i), np.uint64)
-    for k in range(int(size.max()) if len(size) else 0):
-        live = k < size
-        out[live] = out[live] * _BASE + h[i[live] + k]
-    return mix(out + size.astype(np.uint64)), doc[i], i - start[i], size
+    # and for each end of a sentence the last start of such a run, unless that is listed already
+    e = np.flatnonzero(full)
+    back = np.minimum(e + 1 - run, np.searchsorted(first, last[e] - min_words, "right") - 1)
+    fine = back >= start[e]
+    e, back = e[fine] + 1, back[fine]
+    fresh = end[back] != e
+    i, end = np.concatenate([i[ok], back[fresh]]), np.concatenate([end[ok], e[fresh]])
+    order = np.lexsort((end, i))
+    i, end = i[order], end[order]
+    total, inverse = _prefix_sums(b.hash)
+    lo, hi = first[i], last[end - 1]
+    return mix((total[hi] - total[lo]) * inverse[lo] + (hi - lo).astype(np.uint64)), doc[i], i - start[i], end - i
 
 
 def _run_rows(batches: Iterable[pa.RecordBatch], run: int, min_words: int) -> Iterator[pa.RecordBatch]:
@@ -100,14 +137,25 @@ def _run_rows(batches: Iterable[pa.RecordBatch], run: int, min_words: int) -> It
             yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), ids], ["run", "doc_id"])
 
 
+def _without_scraps(drop: np.ndarray, of: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """``drop`` but for stretches of at most NEAR words of a sentence that keeps others: neighbours of a passage agree in as many by chance."""
+    if not drop.any():
+        return drop
+    at = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (drop[1:] != drop[:-1])]))
+    words = np.add.reduceat(size, at)
+    alone = np.bincount(of[at], minlength=of[-1] + 1)[of[at]] == 1
+    return drop & np.repeat(alone | (words > NEAR), np.diff(np.append(at, len(drop))))
+
+
 def _rewritten(batches: Iterable[pa.RecordBatch], run: int, min_words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in chunks(batch):
             b = TextBatch(part.column("text"))
             texts = part.column("text").to_pylist()
-            stop, doc, _, _, _ = sentences(b)
-            n = np.bincount(doc, minlength=b.n)
-            base = np.concatenate([[0], np.cumsum(n)])
+            stop, doc, first, last, of, _ = pieces(b)
+            base = np.searchsorted(doc, np.arange(b.n + 1), "left")
+            _, at = np.unique(of, return_index=True)
+            n = np.bincount(doc[at], minlength=b.n)
             drop = np.zeros(len(stop), bool)
             h, owner, place, size = runs(b, run, min_words)
             hashes = part.column("runs").to_pylist()
@@ -125,7 +173,9 @@ def _rewritten(batches: Iterable[pa.RecordBatch], run: int, min_words: int) -> I
                 for j in np.flatnonzero(bad):
                     s = base[d] + place[lo + j]
                     drop[s : s + size[lo + j]] = True
-            removed = np.bincount(doc[drop], minlength=b.n)
+            drop = _without_scraps(drop, of, last - first)
+            lost = np.unique(of[drop], return_index=True)[1]
+            removed = np.bincount(doc[drop][lost], minlength=b.n)
             raw = b.data
             for d in np.flatnonzero(removed):
                 lo, hi = base[d], base[d + 1]
@@ -138,7 +188,7 @@ def _rewritten(batches: Iterable[pa.RecordBatch], run: int, min_words: int) -> I
 
 
 def repeated_runs(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id and hash of each run of sentences that another document, of a smaller doc_id, has too."""
+    """doc_id and hash of each run of pieces that another document, of a smaller doc_id, has too."""
     rows = docs.select("doc_id", "text").where("text IS NOT NULL").mapInArrow(lambda it: _run_rows(it, run, min_words), "run bigint, doc_id bigint")
     first = rows.groupBy("run").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).where("first_id < last_id")
     # keys under another expression: the join gets exchanges of its own, which adaptive execution can split
@@ -147,7 +197,7 @@ def repeated_runs(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -
 
 
 def substring_dedup(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
-    """Each row of ``docs`` (doc_id, text) without its repeated sentences: doc_id, n_sentences, n_removed, text."""
+    """Each row of ``docs`` (doc_id, text) without its repeated passages: doc_id, n_sentences, n_removed, text."""
     found = repeated_runs(docs, run, min_words).groupBy("doc_id").agg(F.collect_set("run").alias("runs"))
     joined = docs.select("doc_id", "text").join(found, "doc_id", "left").select("doc_id", "text", "runs")
     return joined.mapInArrow(lambda it: _rewritten(it, run, min_words), "doc_id bigint, n_sentences bigint, n_removed bigint, text string")
