@@ -2,8 +2,10 @@
 
 Words are lower-cased and stripped of punctuation.  The units of a text that are
 compared are its lines, its paragraphs (runs of lines that aren't empty), runs of words
-whose bigrams occur in templates (notices inside longer lines), and the text as a
-whole.  A unit of u bigrams can reach the threshold t only against templates of
+whose bigrams occur in templates (notices inside longer lines), the text as a
+whole, and for each template the windows between two of its bigrams, wherever they
+stand, that are its best places (notices side by side or in prose that resembles
+templates).  A unit of u bigrams can reach the threshold t only against templates of
 u*t/(2-t) to u*(2-t)/t bigrams, so others are skipped; and only if t*u/(2-t) of
 its bigrams occur in some template, which one array pass finds out.
 
@@ -95,6 +97,47 @@ class Scanner:
         cut = np.flatnonzero((np.diff(at) > 2) | (owner[at[1:]] != owner[at[:-1]])) + 1 if len(at) else at
         yield at[np.concatenate([[0], cut])] if len(at) else at, (at[np.concatenate([cut - 1, [len(at) - 1]])] + 1) if len(at) else at
 
+    def windows(self, h: np.ndarray, owner: np.ndarray, hit: np.ndarray, repeats: np.ndarray) -> Iterator[tuple[int, int, float, str]]:
+        """Windows that reach the threshold against a template, its best ones that don't overlap: first and end bigram, coefficient, name.
+
+        A best window begins and ends with a bigram of the template that occurs once in
+        it, or it could be shorter; so it ends before its first bigram comes again.
+        """
+        at_all = np.flatnonzero(hit)
+        for members, name in zip(self.sets, self.names, strict=True):
+            n = len(members)
+            at = at_all[np.isin(h[at_all], np.fromiter(members, np.uint64, n))]
+            least, most = max(int(np.ceil(self.t * n / (2 - self.t) - 1e-9)), 1), n * (2 - self.t) / self.t + 1e-9
+            if len(at) < least:
+                continue
+            a, z = at[: len(at) - least + 1], at[least - 1 :]
+            near = (owner[a] == owner[z]) & (z + 1 - a - (repeats[z + 1] - repeats[a]) <= most)
+            found = []
+            for p in np.flatnonzero(near).tolist():
+                first, doc = int(at[p]), owner[at[p]]
+                seen: set[int] = set()
+                common, k = 0, first
+                while k < len(h) and owner[k] == doc and common < n:
+                    x = int(h[k])
+                    if x in seen:
+                        if x == h[first]:
+                            break
+                    else:
+                        seen.add(x)
+                        if len(seen) > most:
+                            break
+                        if x in members:
+                            common += 1
+                            score = 2 * common / (n + len(seen))
+                            if score >= self.t:
+                                found.append((-score, first, k + 1))
+                    k += 1
+            taken = np.zeros(len(h) if found else 0, bool)
+            for score, lo, hi in sorted(found, key=lambda x: (x[0], x[1] - x[2], x[1])):
+                if not taken[lo] and not taken[hi - 1] and not taken[lo:hi].any():
+                    taken[lo:hi] = True
+                    yield lo, hi, -score, name
+
     def scan(self, b: TextBatch) -> list[dict[tuple[int, int], tuple[float, str]]]:
         """For each text the notices found: their bytes, Dice coefficient and licence."""
         out: list[dict] = [{} for _ in range(b.n)]
@@ -113,6 +156,13 @@ class Scanner:
                 score, name = self.best(frozenset(h[lo[i] : hi[i]].tolist()))
                 if score >= self.t:
                     out[owner[lo[i]]][(int(s[lo[i]]), int(e[hi[i] - 1]))] = (score, name)
+        sets = dict(zip(self.names, self.sets, strict=True))
+        # long templates first, so that what is part of them is known to be
+        for i, j, score, name in sorted(self.windows(h, owner, hit, repeats), key=lambda x: (-len(sets[x[3]]), x[3], x[0])):
+            found, a, z = out[owner[i]], int(s[i]), int(e[j - 1])
+            # a notice that is part of a longer template found here is no notice of its own
+            if score > found.get((a, z), (0.0, ""))[0] and not any(x <= a and z <= y and sets[name] < sets[other] for (x, y), (_, other) in found.items()):
+                found[a, z] = (score, name)
         return out
 
 
