@@ -22,6 +22,10 @@ from ocutide.llm.secret_scan import redact
 from ocutide.llm.storage import small_batches, stored
 
 
+#: Words of a shingle and least similarity of near duplicates (op10's digest has settings of its own).
+NEAR_SHINGLE, NEAR_PERCENT = 5, 80
+
+
 def good_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the word rules and the fertility bands."""
     small_batches(spark)
@@ -31,7 +35,7 @@ def good_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near duplicates the document of the smallest doc_id."""
     small_batches(spark)
-    first = jaccard_components(docs).where("doc_id = component_id").select("doc_id").distinct()
+    first = jaccard_components(docs, NEAR_SHINGLE, NEAR_PERCENT).where("doc_id = component_id").select("doc_id").distinct()
     row = F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
     return docs.join(first, "doc_id", "left_semi").withColumn("_row", row).where("_row = 1").select(*docs.columns)
 
