@@ -243,6 +243,13 @@ def _(spark, d):
     return epochs.remap(b, kept).select("ch", "start_blink", F.col("epoch_id").alias("place"))
 
 
+@query("C9_remap_whole", "SELECT ch, start_blink, epoch_id AS place FROM major")
+def _(spark, d):
+    e = _epochs(_own(_samples(spark, d)))
+    b = epochs.assign_epochs(_own(_blinks(spark, d)[0]), e, FRAMES).withColumnRenamed("epoch_id", "seg_id")
+    return epochs.remap(b, e.select("rec_id", F.col("epoch_id").alias("seg_id"), "epoch_id")).select("ch", "start_blink", F.col("epoch_id").alias("place"))
+
+
 @query("C11_zip_by_place", "SELECT a.ch, a.start_blink, b.max_blink FROM (SELECT ch, start_blink, row_number() OVER (PARTITION BY ch ORDER BY start_blink) AS k FROM blinks) AS a JOIN (SELECT ch, max_blink, row_number() OVER (PARTITION BY ch ORDER BY start_blink) AS k FROM peaks) AS b USING (ch, k)")
 def _(spark, d):
     b, s = _blinks(spark, d)
@@ -301,6 +308,12 @@ def _(spark, d):
     return detect.detect_blinks(detect.concatenated(s, _epochs(s).where("epoch_id % 3 <> 1")), P, True).select("ch", "start_blink", "end_blink")
 
 
+@query("D3_find_blinks_epoch_whole", _variant(f"SELECT s.ch, s.i, v FROM samples AS s JOIN len USING (ch) WHERE s.i < floor(n / {FRAMES}) * {FRAMES}", "5"))
+def _(spark, d):
+    s = _own(_samples(spark, d))
+    return detect.detect_blinks(detect.concatenated(s, _epochs(s)), P, True).select("ch", "start_blink", "end_blink")
+
+
 @query("D4_blink_counts", "SELECT ch, epoch_id, n_blinks FROM mapped")
 def _(spark, d):
     return _mapped(spark, d)[0].select("ch", "epoch_id", F.size("blink_onset").cast("bigint").alias("n_blinks"))
@@ -839,6 +852,13 @@ def _(spark, d):
     return b.join(_epochs(s).where("epoch_id < 3").select("rec_id", F.col("epoch_id").alias("seg_id")), ["rec_id", "seg_id"]).select("ch", "start_blink", "seg_id")
 
 
+@query("C10_segment_rows_whole", f"SELECT b.ch, start_blink, epoch_id AS seg_id FROM blinks AS b JOIN ep ON ep.ch = b.ch AND b.start_blink // {FRAMES} = epoch_id")
+def _(spark, d):
+    s = _own(_samples(spark, d))
+    b = _own(_blinks(spark, d)[0]).withColumn("seg_id", epochs.epoch_of(F.col("start_blink"), FRAMES))
+    return b.join(_epochs(s).select("rec_id", F.col("epoch_id").alias("seg_id")), ["rec_id", "seg_id"]).select("ch", "start_blink", "seg_id")
+
+
 @query("C14_compare_tables", "SELECT ch, start_blink, CASE WHEN a.m IS NULL THEN 'right_only' WHEN b.m IS NULL THEN 'left_only' ELSE 'both' END AS side FROM (SELECT ch, start_blink, 1 AS m FROM cand) AS a FULL JOIN (SELECT ch, start_blink, 1 AS m FROM lines) AS b USING (ch, start_blink)")
 def _(spark, d):
     f, s = _fitted(spark, d)
@@ -911,6 +931,12 @@ def _(spark, d):
     return w.where("epoch_id >= 0 AND epoch_id < 4").groupBy("ch", "epoch_id").agg(F.count("*").alias("n_blinks"), F.min("start_rel").alias("first_start"))
 
 
+@query("F21_group_by_epoch_whole", "SELECT ch, epoch_id, count(*) AS n_blinks, min(start_rel) AS first_start FROM ow GROUP BY ALL")
+def _(spark, d):
+    w, _ = _windows_in_epochs(spark, d)
+    return w.groupBy("ch", "epoch_id").agg(F.count("*").alias("n_blinks"), F.min("start_rel").alias("first_start"))
+
+
 @query("G2_windows", "SELECT ch, epoch_id, unnest(blink_onset) AS onset, unnest(blink_duration) AS duration FROM mapped")
 def _(spark, d):
     return metadata.windows(_mapped(spark, d)[0], F.lit("ear")).select("ch", "epoch_id", "onset", "duration")

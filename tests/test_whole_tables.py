@@ -5,6 +5,7 @@ import random
 
 import __spark_entry__ as entry
 from ocutide.functions import wavelet
+from ocutide.plans.oracle import FRAMES
 
 
 def run(spark, name, folder):
@@ -72,3 +73,15 @@ def test_wavelet_energies_of_every_vector(spark, tmp_path):
         assert len(plain_energies(x)) == 3 and got[i].detail_energy_L4 is None
         for level, want in enumerate(plain_energies(x), 1):
             assert abs(got[i][f"detail_energy_L{level}"] - want) < 1e-4
+
+
+def test_every_epoch(spark, tmp_path):
+    peaks = [130, 430, 730, 1530, 2830]
+    value = lambda i: 10.0 + (200.0 if any(p <= i < p + 20 for p in peaks) else 0.0)
+    rows = [(i, "click", value(i)) for i in range(3000)]
+    spark.createDataFrame(rows, "event_id bigint, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    want = [p // FRAMES for p in peaks]
+    assert sorted(r.epoch_id for r in run(spark, "F21_group_by_epoch_whole", tmp_path)) == want
+    assert sorted(r.seg_id for r in run(spark, "C10_segment_rows_whole", tmp_path)) == want
+    assert sorted(r.place for r in run(spark, "C9_remap_whole", tmp_path)) == want
+    assert sorted(r.start_blink // FRAMES for r in run(spark, "D3_find_blinks_epoch_whole", tmp_path)) == want
