@@ -50,4 +50,6 @@ def components(edges: DataFrame) -> DataFrame:
         old, cur = cur, _put(_small(_large(cur, n), n), n)
         discard(old)
     # every edge now leads from a node to the smallest of its component
-    return cur.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(cur.select(F.col("v").alias("node"), F.col("v").alias("label"))).distinct()
+    out = cur.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(cur.select(F.col("v").alias("node"), F.col("v").alias("label"))).distinct()
+    out._stored_at = cur._stored_at  # to be discarded with it
+    return out

@@ -5,21 +5,27 @@ the rest treats as one.  Two similar classes share at least m of the first
 ``n - ceil(t*n) + m`` shingles of either, in an order that all sets have in common
 (``m`` grows with n).  The order puts shingles that are frequent in the corpus last,
 so a boilerplate passage brings no classes together unless they consist of it.
-
-Classes that share such a shingle form a run.  A class that meets others in fewer
-than m runs has no partner, which ends nearly all chance meetings.  Then, in a few
-rounds, each class is compared with one pivot of its runs, which joins most copies
-with linear work.  What is left in each run, classes of *different* components, is
-searched by a signature tree: its
-nodes hold the OR of their members' shingle bitmaps, the range of their sizes and
-the most shingles that a bitmap hides; a dual traversal drops pairs of nodes
-that by size or by the largest possible overlap cannot hold a link.  Pairs that
-survive are compared exactly, so no link between components is lost, and pairs
-within a component, which could only repeat what is known, are never listed.
-
-Shuffles: prefix shingles (about 1 - t of all), then only what shares one: rows
-of runs, and the texts once, to fetch the sets of classes in runs.  Shingles and
-classes are told apart by 64-bit hashes.
+Classes that share such a shingle form a run; a class that meets others in fewer
+than m runs has no partner, and of runs with the same members one is enough.
+
+Every link is found by signature trees over the members of runs.  A tree's nodes
+hold the OR of their members' shingle bitmaps, the range of their sizes and the most
+shingles that a bitmap hides; a dual traversal drops pairs of nodes that by size or by
+the largest possible overlap cannot hold a link, and pairs of nodes that lie in
+one component already.  What it leaves is compared exactly, set against set.
+
+1. Spanning rounds.  A traversal takes what it leaves for linked, so it lists a
+   forest, not all pairs: m copies cost m - 1 comparisons.  First each class enters the
+   tree of its largest run, with ``WITNESS`` further members of that run; then runs in
+   which a component has more than ``WITNESS`` members besides others, with so many of
+   each, as long as that halves them.
+2. The last traversal lists *all* pairs of different components, in all runs that
+   still hold several, so no link between components is lost.
+
+Runs of more than ``BLOCK`` members are dealt in blocks to many tasks (in the last
+traversal: all pairs of blocks).  Shuffles: prefix shingles (about 1 - t of all), then
+only what shares one: rows of runs with bitmaps, and the texts once, to fetch the sets of
+classes in runs.  Shingles and classes are told apart by 64-bit hashes.
 
 Null or empty text, or one without words: empty set, linked with nothing.  Rows of
 the same doc_id count as one document with several texts.  Null doc_id: linked with
@@ -29,6 +35,7 @@ nothing, its component is null.  Extra columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,12 +47,15 @@ from ocutide.llm.storage import discard, stored
 from ocutide.llm.textbatch import _BASE, TextBatch, chunks, mix, windows
 
 SHINGLE, PERCENT = 4, 85
-#: Shingles of a block of texts that are counted together, how many make one a candidate, and the most frequent ones that the order knows.
-BLOCK_TOKENS, BLOCK_LEAST, HEAVY = 1_500_000, 3, 200_000
-#: Bits of a bitmap, members of a leaf, classes that a task remembers.
-BITS, LEAF, SEEN = 2048, 16, 1_000_000
-#: Share of a set by which its prefix is longer than one shared shingle needs, and rounds of pivots.
-MORE_PERCENT, ROUNDS = 3, 3
+#: Shingles of a block of texts that are counted together, how often one must occur there to be reported for certain
+#: (rarer ones by a chance of one in SAMPLED for each occurrence, which counts as so many), and the most frequent ones that the order knows.
+BLOCK_TOKENS, BLOCK_LEAST, SAMPLED, HEAVY = 1_500_000, 3, 64, 200_000
+#: Least and most bits of a bitmap (two for a shingle between them), members of a leaf, classes that a task remembers.
+BITS, MOST_BITS, LEAF, SEEN = 2048, 1 << 16, 16, 1_000_000
+#: Share of a set by which its prefix is longer than one shared shingle needs.
+MORE_PERCENT = 3
+#: Members of a run that meet in one tree, and members of a component (or of a run) that stand for the rest in a spanning round.
+BLOCK, WITNESS = 2048, 16
 
 
 def meetings(n, percent: int = 100):
@@ -82,7 +92,11 @@ def shingle_sets(b: TextBatch, k: int) -> tuple[list[np.ndarray], np.ndarray]:
 
 
 def _class_rows(batches: Iterable[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """Rows (false, doc_id, class, size) of texts, and (true, shingle, number, 0) of shingles that repeat in a block of distinct texts."""
+    """Rows (false, doc_id, class, size) of texts, and (true, shingle, estimated number, evidence) of shingles in a block of distinct texts.
+
+    A shingle that repeats in a block is counted there (evidence 2); others are sampled (evidence 1), so that one that is
+    rare in every block but frequent in the corpus is known too.
+    """
     held: list[np.ndarray] = []
     seen: set[int] = set()
     room = BLOCK_TOKENS
@@ -94,7 +108,10 @@ def _class_rows(batches: Iterable[pa.RecordBatch], k: int) -> Iterator[pa.Record
         token, n = np.unique(np.concatenate(held or [np.zeros(0, np.uint64)]), return_counts=True)
         often = n >= BLOCK_LEAST
         held.clear()
-        return out(True, pa.array(token[often].view(np.int64)), n[often], np.zeros(int(often.sum()), np.int64))
+        salt = mix(token.sum(keepdims=True))  # of each block its own
+        drawn = ~often & (mix(token ^ salt) % np.uint64(SAMPLED) < n.astype(np.uint64))
+        chosen = often | drawn
+        return out(True, pa.array(token[chosen].view(np.int64)), np.where(often, n, SAMPLED)[chosen], np.where(often, 2, 1)[chosen])
 
     with np.errstate(over="ignore"):
         for batch in batches:
@@ -144,54 +161,65 @@ def _prefix_rows(batches: Iterable[pa.RecordBatch], k: int, percent: int, heavy:
                 yield pa.RecordBatch.from_arrays([pa.array(flat[order][chosen].view(np.int64)), pa.array(cls[fresh][who]), pa.array(n[who].astype(np.int32)), pa.array(place[chosen].astype(np.int32))], ["token", "cls", "n", "pos"])
 
 
-def _whole_runs(batches: Iterable[pa.RecordBatch], names: list[str]) -> Iterator[dict[str, np.ndarray]]:
-    """Columns of row groups that end where a token does."""
+def _met_rows(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Of rows by token, size and class: one of each class, where another of the token has a size that goes with its own.
+
+    Sizes are in order, so the nearest neighbours tell; only one row is carried on.
+    """
+    names = ["token", "cls", "n", "pos"]
+    carry: dict[str, np.ndarray] | None = None
+    paired = False  # whether the carried row goes with the one before it
+
+    def out(x: dict[str, np.ndarray], keep: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x[c][keep]) for c in names], names)
+
+    for batch in batches:
+        x = {c: batch.column(c).to_numpy() for c in names}
+        if carry is not None:
+            x = {c: np.concatenate([carry[c], x[c]]) for c in names}
+        if not len(x["token"]):
+            continue
+        new = np.ones(len(x["token"]), bool)
+        new[1:] = (x["token"][1:] != x["token"][:-1]) | (x["cls"][1:] != x["cls"][:-1])
+        x = {c: v[new] for c, v in x.items()}
+        n = x["n"].astype(np.int64)
+        goes = (x["token"][1:] == x["token"][:-1]) & (100 * n[:-1] >= percent * n[1:])
+        keep = np.concatenate([[paired], goes])
+        keep[:-1] |= goes
+        carry, paired = {c: v[-1:] for c, v in x.items()}, bool(keep[-1])
+        keep[-1] = False
+        yield out(x, keep)
+    if carry is not None:
+        yield out(carry, np.array([paired]))
+
+
+GROUP = ["token", "low", "high"]
+
+
+def _whole_groups(batches: Iterable[pa.RecordBatch], names: list[str]) -> Iterator[dict[str, np.ndarray]]:
+    """Columns of row groups that end where a group does; a group has at most about 2 * BLOCK rows."""
     rest: pa.Table | None = None
+    take = lambda t: {c: t.column(c).to_numpy() for c in names}
     for batch in batches:
         if not batch.num_rows:
             continue
         table = pa.Table.from_batches([batch])
         table = pa.concat_tables([rest, table]) if rest is not None else table
-        token = table.column("token").to_numpy()
-        cut = int(np.searchsorted(token, token[-1], "left"))
+        last = np.ones(table.num_rows, bool)
+        for c in GROUP:
+            key = table.column(c).to_numpy()
+            last &= key == key[-1]
+        cut = int(last.argmax())
         rest = table.slice(cut)
         if cut:
-            yield {c: table.column(c).slice(0, cut).to_numpy() for c in names}
+            yield take(table.slice(0, cut))
     if rest is not None:
-        yield {c: rest.column(c).to_numpy() for c in names}
+        yield take(rest)
 
 
-def feasible(run: np.ndarray, n: np.ndarray, pos: np.ndarray | None, percent: int) -> np.ndarray:
-    """Which entries (sorted by run, then size) have another of their run whose size goes with theirs.
-
-    With ``pos``: as the first shingle that a pair shares, which leaves ``n - pos`` to
-    share at most and so bounds the partner's size.
-    """
-    key = run * (1 << 32) + n
-    most, least = n * 100 // percent, -(-percent * n // 100)
-    if pos is not None:
-        most = np.minimum((n - pos) * (100 + percent) // percent - n, most)
-    partners = np.searchsorted(key, run * (1 << 32) + most, "right") - np.searchsorted(key, run * (1 << 32) + least, "left")
-    return (most >= least) & (partners - ((least <= n) & (n <= most)) > 0)
-
-
-def _run_rows(batches: Iterable[pa.RecordBatch], percent: int, first: bool) -> Iterator[pa.RecordBatch]:
-    """Rows of runs with a partner in their run; ``first``: with one for which this may be the first shared shingle."""
-    names = ["token", "cls", "n", "pos"]
-    for x in _whole_runs(batches, names):
-        new = np.ones(len(x["token"]), bool)
-        new[1:] = (x["token"][1:] != x["token"][:-1]) | (x["cls"][1:] != x["cls"][:-1])
-        x = {c: v[new] for c, v in x.items()}
-        run = np.cumsum(np.concatenate([[0], x["token"][1:] != x["token"][:-1]])).astype(np.int64)
-        order = np.flatnonzero(np.bincount(run)[run] > 1)
-        order = order[np.lexsort((x["n"][order], run[order]))]
-        while len(order):  # without an entry, those that needed it go too
-            fine = feasible(run[order], x["n"][order].astype(np.int64), x["pos"][order].astype(np.int64) if first else None, percent)
-            if fine.all():
-                break
-            order = order[fine]
-        if len(order):
-            yield pa.RecordBatch.from_arrays([pa.array(x[c][order]) for c in names], names)
+def bitmap_bits(n: int) -> int:
+    """Bits of the bitmap of a set of n."""
+    return min(max(BITS, 1 << (2 * n - 1).bit_length()), MOST_BITS)
 
 
 def _set_rows(batches: Iterable[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -203,8 +231,9 @@ def _set_rows(batches: Iterable[pa.RecordBatch], k: int) -> Iterator[pa.RecordBa
                 at = np.flatnonzero(cls == part.column("cls").to_numpy())
                 maps = []
                 for i in at:
-                    bits = np.zeros(BITS, np.uint8)
-                    bits[(sets[i] % np.uint64(BITS)).astype(np.int64)] = 1
+                    width = bitmap_bits(len(sets[i]))
+                    bits = np.zeros(width, np.uint8)
+                    bits[(sets[i] % np.uint64(width)).astype(np.int64)] = 1
                     maps.append(np.packbits(bits).tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(cls[at]), pa.array([sets[i].view(np.int64) for i in at], pa.list_(pa.int64())), pa.array(maps, pa.binary())], ["cls", "tokens", "bitmap"])
 
@@ -222,11 +251,16 @@ class SignatureTree:
             self.nodes[lo, hi] = np.bitwise_or.reduce(self.bitmap[lo:hi]), int(self.n[lo]), int(self.n[hi - 1]), int(self.hidden[lo:hi].max())
         return self.nodes[lo, hi]
 
-    def leaf_pairs(self, percent: int) -> Iterator[tuple[int, int, int, int]]:
-        """Pairs of leaves, as ranges of members, that may hold similar sets; the traversal of the tree with itself."""
+    def leaf_pairs(self, percent: int, label: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """Pairs of leaves, as ranges of members, that may hold links between different labels; the traversal of the tree with itself.
+
+        Halves come before what lies between them, so labels that the caller unites on the way prune the rest.
+        """
         todo = [(0, len(self.n), 0, len(self.n))]
         while todo:
             a, b, c, d = todo.pop()
+            if (label[a:b] == label[a]).all() and (label[c:d] == label[a]).all():
+                continue
             (ma, la, ha, sa), (mb, lb, hb, sb) = self.node(a, b), self.node(c, d)
             if (a, b) != (c, d):
                 if 100 * min(ha, hb) < percent * max(la, lb):
@@ -238,7 +272,7 @@ class SignatureTree:
                 yield a, b, c, d
             elif (a, b) == (c, d):
                 m = (a + b) // 2
-                todo += [(a, m, a, m), (a, m, m, b), (m, b, m, b)]
+                todo += [(a, m, m, b), (a, m, a, m), (m, b, m, b)]
             elif b - a >= d - c:
                 m = (a + b) // 2
                 todo += [(a, m, c, d), (m, b, c, d)]
@@ -247,41 +281,80 @@ class SignatureTree:
                 todo += [(a, b, c, m), (a, b, m, d)]
 
 
-def run_pairs(n: np.ndarray, pos: np.ndarray, comp: np.ndarray, bitmap: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of pairs of one run, of different components, that could be similar and first share this run's shingle."""
+def run_pairs(n: np.ndarray, pos: np.ndarray, comp: np.ndarray, bitmap: np.ndarray, percent: int, spanning: bool = False, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of pairs of one run, of different components, that could be similar and first share this run's shingle.
+
+    ``spanning``: only a forest that connects all that could be similar, as if each were a link, wherever they first meet.  With ``side``: pairs of unlike sides only.
+    """
     order = np.argsort(n, kind="stable")
-    n, pos, comp, bitmap = n[order].astype(np.int64), pos[order].astype(np.int64), comp[order], bitmap[order]
+    n, pos, bitmap = n[order].astype(np.int64), pos[order].astype(np.int64), bitmap[order]
+    label = np.unique(comp[order], return_inverse=True)[1]
+    side = None if side is None else side[order]
     out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-    for a, b, c, d in SignatureTree(n, bitmap).leaf_pairs(percent):
+    for a, b, c, d in SignatureTree(n, bitmap).leaf_pairs(percent, label):
         i, j = np.meshgrid(np.arange(a, b), np.arange(c, d), indexing="ij")
         i, j = i.ravel(), j.ravel()
         need = required(n[i], n[j], percent)
-        fine = (comp[i] != comp[j]) & (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= need)
+        fine = label[i] != label[j]
+        if not spanning:
+            fine &= np.minimum(n[i] - pos[i], n[j] - pos[j]) >= need
         if (a, b) == (c, d):
             fine &= i < j
+        if side is not None:
+            fine &= side[i] != side[j]
         i, j, need = i[fine], j[fine], need[fine]
-        if len(i):
-            over_i = n[i] - np.bitwise_count(bitmap[i] & ~bitmap[j]).sum(axis=1)
-            over_j = n[j] - np.bitwise_count(bitmap[j] & ~bitmap[i]).sum(axis=1)
-            fine = np.minimum(over_i, over_j) >= need
-            out.append((order[i[fine]], order[j[fine]]))
+        if not len(i):
+            continue
+        over_i = n[i] - np.bitwise_count(bitmap[i] & ~bitmap[j]).sum(axis=1)
+        over_j = n[j] - np.bitwise_count(bitmap[j] & ~bitmap[i]).sum(axis=1)
+        fine = np.minimum(over_i, over_j) >= need
+        i, j = i[fine], j[fine]
+        if not spanning:
+            out.append((order[i], order[j]))
+            continue
+        while len(i):
+            x, y = i[0], j[0]
+            out.append((order[x : x + 1], order[y : y + 1]))
+            label[label == label[y]] = label[x]
+            apart = label[i] != label[j]
+            i, j = i[apart], j[apart]
     return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
 
 
-def _tree_rows(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of each run that the tree leaves; a pair comes from the run of its first shared shingle only."""
-    for x in _whole_runs(batches, ["token", "cls", "n", "pos", "comp", "bitmap", "earlier"]):
-        first = np.concatenate([np.flatnonzero(np.concatenate([[True], x["token"][1:] != x["token"][:-1]])), [len(x["token"])]])
-        for lo, hi in zip(first[:-1], first[1:], strict=True):
+def folded(bitmaps: list[bytes], bits: int) -> np.ndarray:
+    """Bitmaps of ``bits`` bits or more, as rows of ``bits``: a bit of the narrower one is set where one of its bits is."""
+    out = np.zeros((len(bitmaps), bits // 64), np.uint64)
+    for k, x in enumerate(bitmaps):
+        np.bitwise_or.reduce(np.frombuffer(x, np.uint64).reshape(-1, bits // 64), axis=0, out=out[k])
+    return out
+
+
+def _group_pairs(x: dict[str, np.ndarray], percent: int, spanning: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a group.  Sets of one bitmap width share a tree, with those of the next width, folded, that go with them by size."""
+    bits = np.array([8 * len(v) for v in x["bitmap"]])
+    side = x["side"] if x["low"][0] != x["high"][0] else None
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for width in np.unique(bits):
+        own = bits == width
+        at = np.flatnonzero(own | (bits == 2 * width) & (percent * x["n"].astype(np.int64) <= 100 * int(x["n"][own].max())))
+        if len(at) > 1:
+            i, j = run_pairs(x["n"][at], x["pos"][at], x["comp"][at], folded([x["bitmap"][k] for k in at], int(width)), percent, spanning, None if side is None else side[at])
+            out.append((at[i], at[j]))
+    return np.concatenate([v for v, _ in out]), np.concatenate([v for _, v in out])
+
+
+def _tree_rows(batches: Iterable[pa.RecordBatch], percent: int, spanning: bool) -> Iterator[pa.RecordBatch]:
+    """Pairs of classes of each group that its tree leaves."""
+    for x in _whole_groups(batches, [*GROUP, "cls", "n", "pos", "comp", "side", "bitmap"]):
+        new = np.zeros(len(x["token"]) - 1, bool)
+        for c in GROUP:
+            new |= x[c][1:] != x[c][:-1]
+        cut = np.concatenate([[0], np.flatnonzero(new) + 1, [len(x["token"])]])
+        for lo, hi in zip(cut[:-1], cut[1:], strict=True):
             if hi - lo > 1:
-                bitmap = np.frombuffer(b"".join(x["bitmap"][lo:hi]), np.uint64).reshape(hi - lo, -1)
-                i, j = run_pairs(x["n"][lo:hi], x["pos"][lo:hi], x["comp"][lo:hi], bitmap, percent)
-                before = x["earlier"][lo:hi]
-                new = np.array([not len(np.intersect1d(before[a], before[b], True)) for a, b in zip(i, j, strict=True)], bool)
-                i, j = i[new], j[new]
-                if len(i):
-                    p, q = x["cls"][lo:hi][i], x["cls"][lo:hi][j]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], ["u", "v"])
+                i, j = _group_pairs({c: v[lo:hi] for c, v in x.items()}, percent, spanning)
+                p, q = x["cls"][lo:hi][i], x["cls"][lo:hi][j]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], ["u", "v"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -294,59 +367,94 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 RUN = "token bigint, cls bigint, n int, pos int"
 
 
-def _pivot_pairs(placed: DataFrame, k: int, percent: int, n: int) -> DataFrame:
-    """For each class the pivot of another component that it meets most, if it may be similar; the pivots of runs change with the round k."""
-    pivot = few(placed.groupBy("token").agg(F.min_by(F.struct("cls", "n", "pos", "comp"), F.xxhash64("cls", F.lit(k))).alias("p")), n)
-    both = few(placed.join(pivot, "token"), n).where(F.col("comp") != F.col("p.comp"))
-    left = F.least(F.col("n") - F.col("pos"), F.col("p.n") - F.col("p.pos"))
-    both = both.where(100 * F.least("n", "p.n") >= percent * F.greatest("n", "p.n")).where((100 + percent) * left >= percent * (F.col("n") + F.col("p.n")))
-    counts = few(both.groupBy("cls", F.col("p.cls").alias("pivot")).agg(F.count("*").alias("c")), n)
-    return few(counts.groupBy("cls").agg(F.max_by("pivot", F.struct("c", "pivot")).alias("v")), n).select(F.col("cls").alias("u"), "v")
+def _tree_pairs(rows: DataFrame, sets: DataFrame, percent: int, spanning: bool) -> DataFrame:
+    """Distinct pairs that the trees over runs leave; ``rows``: token, cls, n, pos, comp."""
+    rows = rows.select("token", "cls", "n", "pos", "comp")
+    size = rows.groupBy("token").agg(F.count("*").alias("size"))
+    blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.lit(1)).cast("int")
+    dealt = rows.join(size, "token").withColumn("side", F.pmod(F.xxhash64("cls", F.lit(1)), blocks).cast("int"))
+    if spanning:  # blocks alone: others come together in a later round
+        dealt = dealt.withColumns({"low": F.col("side"), "high": F.col("side")})
+    else:
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumns({"low": F.least("side", "other"), "high": F.greatest("side", "other")})
+    dealt = dealt.join(sets.select("cls", "bitmap"), "cls").select(*GROUP, "cls", "n", "pos", "comp", "side", "bitmap")
+    return dealt.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInArrow(lambda it: _tree_rows(it, percent, spanning), "u bigint, v bigint").distinct()
+
+
+def _distinct_runs(runs: DataFrame) -> DataFrame:
+    """Of runs with the same members the one whose shingle comes first in the common order, with its size."""
+    mark = lambda k: F.sum(F.shiftright(F.xxhash64("cls", F.lit(k)), 20)).alias(f"f{k}")
+    each = runs.groupBy("token").agg(F.count("*").alias("size"), mark(0), mark(1), F.sum(F.col("pos").cast("bigint")).alias("place"))
+    return each.groupBy("size", "f0", "f1").agg(F.min_by("token", F.struct("place", "token")).alias("token")).select("token", "size")
+
+
+def _first_round(placed: DataFrame) -> DataFrame:
+    """Each class in its largest run, and of each of these runs some members more."""
+    best = placed.groupBy("cls").agg(F.max_by("token", F.struct("size", "token")).alias("best"))
+    used = best.select(F.col("best").alias("token")).distinct()
+    some = F.pmod(F.xxhash64("cls", "token"), F.col("size")) < WITNESS
+    return placed.join(best, "cls").join(used, "token", "left_semi").where((F.col("token") == F.col("best")) | some).drop("best")
+
+
+def _crowded(placed: DataFrame, k: int) -> DataFrame:
+    """Of runs that hold a component with many members and others besides: some members of each component, others in each round k."""
+    inside = placed.groupBy("token", "comp").agg(F.count("*").alias("m"))
+    open_ = inside.groupBy("token").agg(F.count("*").alias("comps"), F.max("m").alias("most")).where(f"comps > 1 AND most > {WITNESS}").select("token")
+    rows = placed.join(open_, "token", "left_semi").join(inside.withColumnRenamed("comp", "c").withColumnRenamed("token", "t"), (F.col("token") == F.col("t")) & (F.col("comp") == F.col("c")))
+    return rows.where(F.pmod(F.xxhash64("cls", F.lit(k)), F.col("m")) < WITNESS).drop("t", "c", "m")
 
 
-def jaccard_links(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """The texts (doc_id, cls, n) and, between classes of equal sets, links (u, v) that connect all that are similar.
+def jaccard_links(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The texts (doc_id, cls, n); between classes of equal sets, links (u, v) that connect all that are similar; and each linked class with its component (node, label).
 
     Links hold at least one path between any two similar classes, and only similar pairs.
     """
     texts = docs.select("doc_id", "text")
     found = stored(texts.mapInArrow(lambda it: _class_rows(it, shingle), "heavy boolean, a bigint, b bigint, n bigint"), "classes")
     docs_of = found.where("NOT heavy").select(F.col("a").alias("doc_id"), F.col("b").alias("cls"), "n")
-    top = found.where("heavy").groupBy("a").agg(F.sum("b").alias("c")).orderBy(F.col("c").desc(), "a").limit(HEAVY).collect()  # HEAVY rows of two numbers at most
+    top = found.where("heavy").groupBy("a").agg(F.sum("b").alias("c"), F.sum("n").alias("seen")).where("seen > 1").orderBy(F.col("c").desc(), "a").limit(HEAVY).collect()  # HEAVY rows of two numbers at most
     by_count = sorted((r["c"], r["a"]) for r in top)
     token = np.array([a for _, a in by_count], np.int64).view(np.uint64)
     order = np.argsort(token)
     heavy, rank = token[order], order.astype(np.int64)
     entries = texts.where("doc_id IS NOT NULL").mapInArrow(lambda it: _prefix_rows(it, shingle, percent, heavy, rank), RUN)
-    by_token = lambda df: df.repartition("token").sortWithinPartitions("token", "cls")
-    met = stored(by_token(entries).mapInArrow(lambda it: _run_rows(it, percent, False), RUN), "met")
+    met_in = lambda df: df.repartition("token").sortWithinPartitions("token", "n", "cls").mapInArrow(lambda it: _met_rows(it, percent), RUN)
+    met = stored(met_in(entries), "met")
     often = met.groupBy("cls").agg(F.count("*").alias("c"), F.max("n").alias("n")).where(f"c >= 1 + floor(ceil({percent} * n / 100) * {MORE_PERCENT} / 100)").select("cls")
-    runs = stored(by_token(met.join(often, "cls", "left_semi")).mapInArrow(lambda it: _run_rows(it, percent, True), RUN), "runs")
-    discard(met)
+    # the first shingle that a pair shares lies among these
+    first = met.join(often, "cls", "left_semi").where(f"pos <= n - ceil({percent} * n / 100)")
+    every = stored(met_in(first), "runs")
+    runs = stored(every.join(_distinct_runs(every), "token"), "runs")
+    discard(met, every)
     reps = docs_of.where("cls <> 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id")).join(runs.select("cls").distinct(), "cls", "left_semi")
     sets = stored(texts.join(reps, "doc_id").select("text", "cls").mapInArrow(lambda it: _set_rows(it, shingle), "cls bigint, tokens array<bigint>, bitmap binary"), "sets")
-    placed, links, n = runs.withColumn("comp", F.col("cls")), None, runs.count()
-    for k in range(ROUNDS):
-        more = stored(_verified(_pivot_pairs(placed, k, percent, n), sets, percent), "links")
-        links = more if links is None else links.unionByName(more)
-        known = components(links).withColumnRenamed("node", "cls")
-        old = placed
-        placed = stored(few(runs.join(known, "cls", "left"), n).select("token", "cls", "n", "pos", F.coalesce("label", "cls").alias("comp")), "placed")
-        discard(old)
-    open_ = few(placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")), n).where("lo <> hi").select("token")
-    prefix = placed.groupBy("cls").agg(F.collect_list(F.struct("pos", "token")).alias("prefix"))  # a share of a set at most
-    earlier = F.transform(F.filter("prefix", lambda x: x["pos"] < F.col("pos")), lambda x: x["token"])
-    left = placed.join(open_, "token", "left_semi").join(sets.select("cls", "bitmap"), "cls").join(prefix, "cls").select("token", "cls", "n", "pos", "comp", "bitmap", earlier.alias("earlier"))
-    pairs = by_token(left).mapInArrow(lambda it: _tree_rows(it, percent), "u bigint, v bigint").distinct()
-    more = stored(_verified(pairs, sets, percent), "links")
-    discard(placed, runs, sets)
-    return docs_of, links.unionByName(more)
+    n = runs.count()
+    placed = runs.withColumn("comp", F.col("cls"))
+    links, labels, rows, k, left = [], None, _first_round(placed), 0, None
+    while True:
+        more = stored(_verified(_tree_pairs(rows, sets, percent, True), sets, percent), "links")
+        links.append(more)
+        old, labels = labels, components(more if labels is None else more.unionByName(labels.select(F.col("node").alias("u"), F.col("label").alias("v"))))
+        if old is not None:
+            discard(old)
+        discard(placed)
+        placed = stored(few(runs.join(labels.withColumnRenamed("node", "cls"), "cls", "left"), n).select("token", "cls", "n", "pos", "size", F.coalesce("label", "cls").alias("comp")), "placed")
+        k += 1
+        rows = _crowded(placed, k)
+        before, left = left, rows.count()
+        if not left or before is not None and 2 * left > before:
+            break
+    open_ = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
+    last = stored(_verified(_tree_pairs(placed.join(open_, "token", "left_semi"), sets, percent, False), sets, percent), "links")
+    links.append(last)
+    final = components(last.unionByName(labels.select(F.col("node").alias("u"), F.col("label").alias("v"))))
+    discard(placed, runs, sets, labels)
+    return docs_of, reduce(DataFrame.unionByName, links), final
 
 
 def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Each row of ``docs`` (doc_id, text) with the size of its shingle set and the smallest doc_id that links lead to."""
-    docs_of, links = jaccard_links(docs, shingle, percent)
-    labels = components(links)
+    docs_of, links, labels = jaccard_links(docs, shingle, percent)
     classes = docs_of.where("cls <> 0").groupBy("cls").agg(F.min("doc_id").alias("rep")).join(labels.withColumnRenamed("node", "cls"), "cls", "left")
     least = classes.where("label IS NOT NULL").groupBy("label").agg(F.min("rep").alias("least"))
     spread = classes.withColumn("label", F.coalesce("label", "cls"))  # null keys would meet in one task
