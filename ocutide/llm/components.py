@@ -1,14 +1,17 @@
-"""Connected components by alternating large and small stars, on tables alone."""
+"""Connected components: forests within partitions of bounded size, then alternating large and small stars between them."""
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ocutide.llm.storage import discard, stored
 
 
-#: Rows to a task at least: a small table dealt to many tasks costs more in shuffle files than in work.
+#: Rows to a task: a small table dealt to many tasks costs more in shuffle files than in work.
 ROWS = 200_000
 
 
@@ -34,15 +37,37 @@ def _put(edges: DataFrame, n: int) -> DataFrame:
     return stored(few(edges, n), "edges")
 
 
+def _forest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges from each node of a partition's edges to the smallest node it is connected with there."""
+    above: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := above.setdefault(x, x)) != x:
+            above[x] = above[y]
+            x = y
+        return x
+
+    for batch in batches:
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = top(u), top(v)
+            if a != b:
+                above[max(a, b)] = min(a, b)
+    pairs = [(x, top(x)) for x in list(above) if top(x) != x]
+    yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], ["u", "v"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Each node of ``edges`` (u, v) with the smallest node of its component: node, label.
 
-    A round moves the edges four times; their number does not grow, and the number
-    of rounds is about the logarithm of the longest path.
+    What a partition of some ROWS edges holds is contracted by one task.  Where there are
+    several, a round moves the edges four times; their number does not grow, and the
+    number of rounds is about the logarithm of the longest path.
     """
     n = edges.count()
-    cur, mark = _put(_small(edges, n), n), None
-    while True:
+    parts = 1 + n // ROWS
+    cur = stored(edges.select("u", "v").coalesce(parts).mapInArrow(_forest, "u bigint, v bigint"), "edges")
+    mark = None
+    while parts > 1:
         now = cur.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v") % (1 << 40)), F.lit(0))).first()
         if now == mark:
             break

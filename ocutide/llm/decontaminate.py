@@ -8,10 +8,11 @@ prefix words with the few words around them; joined to the windows by that word,
 a place is dropped where the window would not fit into the text (position and
 length bounds), and the rest are compared word by word.
 
-The texts are read twice (word counts, places) and never shuffled; what moves are
-counts of benchmark words and the places of rare words.  Benchmark words reach the
-scan as a literal set, in blocks of ``BLOCK`` words, so the set that a task holds is
-bounded however large the benchmark is.
+The texts are read twice (word counts, places) however large the benchmark is, and
+never shuffled; what moves are counts of benchmark words and the places of rare words.
+Benchmark words reach a scan as a Bloom filter of ``FILTER_BITS`` bits, which executors
+build and which has one size for all benchmarks; words that it lets pass by chance
+meet no benchmark word in the join that follows.  The driver holds no words.
 
 Null or empty texts and items have no words.  Repeated document rows are treated
 apart; repeated items count once each.  Extra columns are not read.
@@ -28,7 +29,8 @@ from pyspark.sql import functions as F
 from ocutide.llm.storage import stored
 
 WINDOW = 10
-BLOCK = 50_000
+#: Bits of the Bloom filter (half a megabyte): a million words let one other word in seven pass, 100,000 one in 500.
+FILTER_BITS = 1 << 22
 #: Bytes that separate words once A-Z are folded (fixed value).
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -49,21 +51,31 @@ def item_windows(items: DataFrame, width: int = WINDOW) -> DataFrame:
     return starts.select("item_id", F.slice("words", F.col("at") + 1, F.lit(width)).alias("win")).groupBy("win").agg(F.collect_set("item_id").alias("items"))
 
 
-def _blocks(names: DataFrame, block: int) -> list[list[str]]:
-    """The words of a one-column table in lists of about ``block``, fetched one list at a time."""
-    n = max(1, -(-names.count() // block))
-    col = F.col(names.columns[0])
-    return [[r[0] for r in names.where(F.pmod(F.xxhash64(col), F.lit(n)) == i).collect()] for i in range(n)]
+def _cells(word: Column) -> list[Column]:
+    """The places of a word in the filter."""
+    h = F.xxhash64(word)
+    return [F.pmod(h, F.lit(FILTER_BITS)), F.pmod(F.shiftright(h, 32), F.lit(FILTER_BITS))]
 
 
-def word_counts(docs: DataFrame, vocabulary: DataFrame, block: int = BLOCK) -> DataFrame:
+def word_filter(names: DataFrame) -> Column:
+    """A Bloom filter over the words of a one-column table: an array of FILTER_BITS / 64 numbers, as a scalar of the plan."""
+    place = names.select(F.explode(F.array(*_cells(F.col(names.columns[0])))).alias("p"))
+    set_ = place.groupBy(F.shiftright("p", 6).alias("id")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("p") % 64).cast("int"))).alias("bits"))
+    every = names.sparkSession.range(FILTER_BITS // 64).join(set_, "id", "left").select(F.struct("id", F.coalesce("bits", F.lit(0).cast("bigint")).alias("bits")).alias("c"))
+    return stored(every.agg(F.transform(F.array_sort(F.collect_list("c")), lambda c: c["bits"]).alias("bits")), "filter").scalar()
+
+
+def _passes(bits: Column, word: Column) -> Column:
+    one = lambda p: F.call_function("shiftright", F.get(bits, F.shiftright(p, 6).cast("int")), (p % 64).cast("int")).bitwiseAND(F.lit(1).cast("bigint")) == 1
+    a, b = _cells(word)
+    return one(a) & one(b)
+
+
+def word_counts(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """How often each word of ``vocabulary`` occurs in all texts: word, n."""
-    out = None
-    for some in _blocks(vocabulary, block):
-        every = docs.select(F.explode(words(F.col("text"))).alias("word")).where(F.col("word").isin(some))
-        found = every.groupBy("word").agg(F.count("*").alias("n"))
-        out = found if out is None else out.unionByName(found)
-    return out
+    bits = word_filter(vocabulary)
+    every = docs.select(F.explode(words(F.col("text"))).alias("word")).where(_passes(bits, F.col("word")))
+    return every.groupBy("word").agg(F.count("*").alias("n")).join(vocabulary, "word", "left_semi")
 
 
 def prefixes(windows: DataFrame, counts: DataFrame) -> DataFrame:
@@ -74,29 +86,22 @@ def prefixes(windows: DataFrame, counts: DataFrame) -> DataFrame:
     return found.select("win", "items", F.col("p.word").alias("word"), F.col("p.at").alias("at"))
 
 
-def _places(words_: Column, some: list[str], width: int) -> Column:
-    """Place, word and surroundings of each word of ``some`` in an array of words."""
-    around = lambda i: F.slice(words_, F.greatest(i - (width - 1), F.lit(0)) + 1, F.lit(2 * width - 1))
-    marked = F.transform(words_, lambda w, i: F.when(w.isin(some), i))
-    return F.transform(F.filter(marked, lambda i: i.isNotNull()), lambda i: F.struct(i.alias("pos"), F.get(words_, i).alias("word"), around(i).alias("near")))
-
-
-def decontaminate(docs: DataFrame, items: DataFrame, width: int = WINDOW, block: int = BLOCK) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, width: int = WINDOW) -> DataFrame:
     """For each row of ``docs`` (doc_id, text) the words that windows of ``items`` cover and the items.
 
     Columns: doc_id, n_words, n_hit, items (sorted array of item_id as strings),
     hits (array of start and end word of the covering windows, in order).
     """
-    windows = item_windows(items, width)
-    vocabulary = windows.select(F.explode("win").alias("word")).distinct()
-    # needed for the literal sets of the scan and for the join
-    chosen = stored(prefixes(windows, word_counts(docs, vocabulary, block)), "prefixes")
+    windows = stored(item_windows(items, width), "windows")
+    vocabulary = stored(windows.select(F.explode("win").alias("word")).distinct(), "vocabulary")
+    # needed for the filter of the scan and for the join
+    chosen = stored(prefixes(windows, word_counts(docs, vocabulary)), "prefixes")
     rows = docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", words(F.col("text")).alias("words"))
-    parts = None
-    for some in _blocks(chosen.select("word").distinct(), block):
-        near = _places(F.col("words"), some, width) if some else F.array().cast("array<struct<pos:int,word:string,near:array<string>>>")
-        part = rows.select("row_id", "doc_id", F.coalesce(F.size("words"), F.lit(0)).alias("n_words"), F.explode_outer(near).alias("p"))
-        parts = part if parts is None else parts.unionByName(part)
+    passes = _passes(word_filter(chosen.select("word").distinct()), F.col("word"))
+    around = F.slice("words", F.greatest(F.col("pos") - (width - 1), F.lit(0)) + 1, F.lit(2 * width - 1))
+    every = rows.select("row_id", "doc_id", F.coalesce(F.size("words"), F.lit(0)).alias("n_words"), "words", F.posexplode_outer("words").alias("pos", "word"))
+    # each text keeps a row of its own, that of its first word
+    parts = every.where(passes | (F.coalesce("pos", F.lit(0)) == 0)).select("row_id", "doc_id", "n_words", F.when(passes, F.struct("pos", "word", around.alias("near"))).alias("p"))
     # the place of the window's start within the surroundings, and the bounds that it must keep
     skip = F.col("p.pos") - F.greatest(F.col("p.pos") - (width - 1), F.lit(0))
     start = F.col("p.pos") - F.col("at")

@@ -2,8 +2,9 @@
 
 Tokens are summed over cells of source, language and topic.  The cells' weights are
 raked: scaled to the target share of each source, then of each language, then of
-each topic, and again, until all three marginals agree with the targets (or as
-near as ROUNDS rounds come).  A document of a cell is then drawn
+each topic, and again, until no factor of a round is further than TOLERANCE from 1, so
+that all three marginals agree with the targets.  Targets that no weights can meet, as
+they never agree, end in an error after MOST_ROUNDS.  A document of a cell is then drawn
 ``rate * weight / natural share`` times: the whole part for certain, the rest with
 that probability, by a number that depends on its doc_id alone.
 
@@ -13,7 +14,8 @@ raised to a power below 1 and normalised, which lifts small sources and language
 The texts are read once for the cells and once for the draw, and never shuffled;
 only cells move.  Null source or language: a value "(none)" of its own.  Null or
 empty text: no tokens, topic of the last rule, weight of its cell (1 where the whole
-cell has no tokens).  Repeated rows have the same draw.  Extra columns are not read.
+cell has no tokens).  Repeated rows have the same draw.  Extra columns are not read
+by ``mix``; ``mix_rows`` keeps them, and replaces those of the names that it adds.
 """
 
 from __future__ import annotations
@@ -21,11 +23,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ocutide.llm.storage import discard, stored
+from ocutide.llm.storage import discard, free_name, stored
 
 DIMS = ("source", "lang", "topic")
 POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.8}
-ROUNDS = 8
+#: Largest relative error of a marginal that remains, and rounds after which targets count as impossible.
+TOLERANCE, MOST_ROUNDS = 1e-12, 500
 #: Topic and the pattern of its texts, in order (fixed values); texts that match none are told apart by length.
 TOPICS = (("table", r" \| "), ("markup", r"[#*$%&]{3}"), ("legal", r"[Ll]icen[cs]ed |Copyright"), ("contact", r"@[a-z]+\.|\([0-9]{3}\) [0-9]{3}-"))
 LENGTHS = ((50, "note"), (500, "article"))
@@ -55,42 +58,62 @@ def default_targets(cells: DataFrame, powers: dict[str, float]) -> dict[str, Dat
     out = {}
     for d, power in powers.items():
         part = cells.groupBy(d).agg(F.sum("n_tokens").alias("n")).select(d, F.pow(F.col("n").cast("double"), F.lit(power)).alias("v"))
-        out[d] = stored(part.crossJoin(F.broadcast(part.agg(F.sum("v").alias("all")))).select(d, (F.col("v") / F.col("all")).alias("target")), "targets")
+        out[d] = stored(part.select(d, (F.col("v") / part.agg(F.sum("v")).scalar()).alias("target")), "targets")
     return out
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS) -> DataFrame:
-    """Cells (source, lang, topic, n_tokens) with their fitted share ``w``, 1 in all, and natural share ``natural``."""
-    total = cells.agg(F.sum("n_tokens").cast("double").alias("all"))
-    share = F.col("n_tokens") / F.col("all")
-    cur = stored(cells.crossJoin(F.broadcast(total)).select(*DIMS, share.alias("natural"), share.alias("w")), "raked")
-    for _ in range(rounds):
+def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOLERANCE, most_rounds: int = MOST_ROUNDS) -> DataFrame:
+    """Cells (source, lang, topic, n_tokens) with their fitted share ``w``, 1 in all, natural share ``natural`` and the last largest correction ``off``."""
+    share = F.col("n_tokens") / cells.agg(F.sum("n_tokens").cast("double")).scalar()
+    cur = stored(cells.select(*DIMS, share.alias("natural"), share.alias("w"), F.lit(0.0).alias("off")), "raked")
+    for _ in range(most_rounds):
         for d in DIMS:
             factor = cur.groupBy(d).agg(F.sum("w").alias("m")).join(targets[d], d).select(d, (F.col("target") / F.col("m")).alias("f"))
             # each step reads its table twice, so it is written: plans stay of one size
-            old = cur
-            cur = stored(cur.join(factor, d).select(*DIMS, "natural", (F.col("w") * F.col("f")).alias("w")), "raked")
+            off = F.abs(F.col("f") - 1)
+            step = cur.join(factor, d).select(*DIMS, "natural", (F.col("w") * F.col("f")).alias("w"), (off if d == DIMS[0] else F.greatest("off", off)).alias("off"))
+            old, cur = cur, stored(step, "raked")
             discard(old)
-    return cur
+        if (cur.agg(F.max("off")).first()[0] or 0.0) <= tolerance:
+            return cur
+    raise ValueError(f"no weights meet the targets: still off by {cur.agg(F.max('off')).first()[0]:.2g}")
+
+
+NEW = ("topic", "n_tokens", "weight", "copies")
 
 
-def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, powers: dict[str, float] | None = None, rate: float = 1.0, rounds: int = ROUNDS) -> DataFrame:
-    """Each row of ``docs`` (doc_id, text, lang, source) with its cell, its weight, and how many copies the mix takes.
+def mix_rows(docs: DataFrame, targets: dict[str, DataFrame] | None = None, powers: dict[str, float] | None = None, rate: float = 1.0) -> DataFrame:
+    """``docs`` (doc_id, text, lang, source and more) with the topic, number of tokens, weight and copies of each row; texts are not shuffled.
 
     ``targets``: tables of (source | lang | topic, target), shares of 1, of all values with tokens.
     """
     rows = measured(docs)
     cells = stored(rows.groupBy(*DIMS).agg(F.sum("n_tokens").alias("n_tokens")).where("n_tokens > 0"), "cells")
-    fitted = rake(cells, default_targets(cells, powers or POWERS) | (targets or {}), rounds)
-    weights = fitted.select(*DIMS, (F.col("w") / F.col("natural")).alias("weight"))
+    wanted = default_targets(cells, powers or POWERS)
+    fitted = rake(cells, wanted | (targets or {}))
+    key = {d: free_name(f"_mix_{d}", docs) for d in (*DIMS, "weight")}
+    weights = stored(fitted.select(*(F.col(d).alias(key[d]) for d in DIMS), (F.col("w") / F.col("natural")).alias(key["weight"])), "weights")
+    discard(fitted, cells, *wanted.values())
+    old = [c for c in docs.columns if c.lower() not in NEW]
+    n = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint")
+    kept = docs.select(*old, n.alias("n_tokens"))
+    kept = kept.select(*old, "n_tokens", topic_of(F.col("text"), F.col("n_tokens")).alias("topic"))
+    on = (F.coalesce("source", F.lit(NONE)) == F.col(key["source"])) & (F.coalesce("lang", F.lit(NONE)) == F.col(key["lang"])) & (F.col("topic") == F.col(key["topic"]))
     drawn = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
-    out = rows.join(weights, list(DIMS), "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
-    expected = F.col("weight") * F.lit(rate)
+    weight = F.coalesce(key["weight"], F.lit(1.0))
+    expected = weight * F.lit(rate)
     copies = F.floor(expected) + F.when(drawn < expected - F.floor(expected), 1).otherwise(0)
-    return out.select("doc_id", *DIMS, "n_tokens", F.round("weight", 6).alias("weight"), copies.cast("bigint").alias("copies"))
+    return kept.join(weights, on, "left").select(*old, "topic", "n_tokens", F.round(weight, 6).alias("weight"), copies.cast("bigint").alias("copies"))
+
+
+def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, powers: dict[str, float] | None = None, rate: float = 1.0) -> DataFrame:
+    """Each row of ``docs`` (doc_id, text, lang, source) with its cell, its weight, and how many copies the mix takes."""
+    out = mix_rows(docs.select("doc_id", "text", "lang", "source"), targets, powers, rate)
+    return out.select("doc_id", F.coalesce("source", F.lit(NONE)).alias("source"), F.coalesce("lang", F.lit(NONE)).alias("lang"), *NEW)
 
 
-def _sql(rounds: int = ROUNDS) -> str:
+def _sql(rounds: int = 36) -> str:
+    """Rounds in one statement are of a fixed number, here so many that the test tables agree to more digits than are compared."""
     topic = f"CASE WHEN n_tokens = 0 THEN '{LAST}' " + " ".join(f"WHEN regexp_matches(text, '{p}') THEN '{n}'" for n, p in TOPICS) + " " + " ".join(f"WHEN n_tokens < {n} THEN '{x}'" for n, x in LENGTHS) + f" ELSE '{LAST}' END"
     parts = [
         f"m AS (SELECT doc_id, coalesce(source, '{NONE}') AS source, coalesce(lang, '{NONE}') AS lang, text, CAST(coalesce(len(regexp_extract_all(text, '{WORD}')), 0) AS BIGINT) AS n_tokens FROM documents)",

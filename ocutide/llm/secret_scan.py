@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ocutide.llm.storage import free_name
+
 
 def _either_case(words: str) -> str:
     return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in words)
@@ -158,19 +160,31 @@ def secret_digests(found: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with each span of the scan replaced by ``mark``; n_chars, where there is one, follows the text.
 
-    Rows are matched by doc_id, which must be unique; texts without spans stay as they are.
+    What is a secret depends on the text alone, so spans find their rows by a digest of it: a doc_id may be null or
+    repeated.  Texts without spans stay as they are, and so do all other columns.
     """
-    found = secret_scan(docs).where(F.size("found") > 0)
+    digest, spans_ = free_name("_digest", docs), free_name("_spans", docs)
+    of_text = F.md5(F.col("text"))
+    found = secret_scan(docs.select(of_text.alias("doc_id"), "text")).where(F.size("found") > 0).dropDuplicates(["doc_id"])
+    # spans are in order of start: one that begins inside its predecessors' reach widens it
+    start = F.struct(F.array().cast("array<struct<start:bigint,end:bigint>>").alias("done"), F.lit(None).cast("bigint").alias("start"), F.lit(None).cast("bigint").alias("end"))
+    closed = lambda acc: F.when(acc["start"].isNull(), acc["done"]).otherwise(F.array_append(acc["done"], F.struct(acc["start"].alias("start"), acc["end"].alias("end"))))
 
     def merge(acc: Column, s: Column) -> Column:
-        last = F.element_at(acc, -1)
-        joins = (F.size(acc) > 0) & (s["start"] <= F.try_element_at(acc, F.lit(-1))["end"])
-        wider = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))))
-        return F.when(joins, wider).otherwise(F.concat(acc, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end")))))
-
-    spans = F.aggregate("found", F.array().cast("array<struct<start:bigint,end:bigint>>"), merge)
-    text = F.aggregate(F.reverse("spans"), F.col("text"), lambda t, s: F.concat(F.substr(t, F.lit(1), s["start"].cast("int")), F.lit(mark), F.substr(t, s["end"].cast("int") + 1)))
-    out = docs.join(found.select("doc_id", spans.alias("spans")), "doc_id", "left").withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(text)).drop("spans")
+        joins = F.coalesce(s["start"] <= acc["end"], F.lit(False))
+        return F.struct(
+            F.when(joins, acc["done"]).otherwise(closed(acc)).alias("done"),
+            F.when(joins, acc["start"]).otherwise(s["start"]).alias("start"),
+            F.when(joins, F.greatest(acc["end"], s["end"])).otherwise(s["end"]).alias("end"),
+        )
+
+    spans = F.aggregate("found", start, merge, closed)
+    # what stands before each span and after the last, joined by the mark
+    ends = F.concat(F.array(F.lit(0).cast("bigint")), F.transform(spans_, lambda s: s["end"]))
+    starts = F.concat(F.transform(spans_, lambda s: s["start"]), F.array(F.length("text").cast("bigint")))
+    text = F.array_join(F.zip_with(ends, starts, lambda a, b: F.substr("text", (a + 1).cast("int"), (b - a).cast("int"))), mark)
+    keyed = docs.withColumn(digest, F.coalesce(of_text, F.uuid()))  # null texts find nothing, and don't meet in one task
+    out = keyed.join(found.select(F.col("doc_id").alias(digest), spans.alias(spans_)), digest, "left").withColumn("text", F.when(F.col(spans_).isNull(), F.col("text")).otherwise(text))
     return (out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out).select(*docs.columns)
 
 

@@ -13,7 +13,7 @@ def check(spark, docs, texts, items, **options):
         assert got[i] == contamination(t, items), t
 
 
-def test_against_plain_python(spark, docs):
+def test_against_plain_python(spark, docs, monkeypatch):
     rng = random.Random(7)
     vocabulary = ["the", "of", "Écho", "écho", "x1", "lorem", "ipsum", "İx", "ΣΑΣ"]
     sentence = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
@@ -21,7 +21,8 @@ def test_against_plain_python(spark, docs):
     items.append((9, items[1][1]))
     t = ["", None, "THE", items[0][1].upper(), "a, " + items[1][1].replace(" ", ", ") + "!", "only here words", sentence(300), "the of " * 40, items[0][1] + " z " + items[0][1][:60]]
     check(spark, docs, t, items)
-    check(spark, docs, t, items, block=2)
+    monkeypatch.setattr(D, "FILTER_BITS", 64)  # nearly all words pass
+    check(spark, docs, t, items)
 
 
 def test_empty_tables_and_repeats(spark, docs):

@@ -140,7 +140,9 @@ def test_toxicity_without_labels_uses_the_lexicon(docs, spark, labels):
     assert T.toxicity(docs(["a", None]).withColumn("score", F.lit("x")), table).count() == 2
 
 
-def test_components(spark):
+@pytest.mark.parametrize("rows", [200_000, 100])
+def test_components(spark, monkeypatch, rows):
+    monkeypatch.setattr("ocutide.llm.components.ROWS", rows)
     rng = random.Random(6)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1100)] + [(2000, i) for i in range(1900, 1990)]
     label = {}
