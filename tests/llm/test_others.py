@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -133,6 +134,83 @@ def test_toxicity_learns_words_it_was_not_told(docs, spark):
     assert got.score.between(0, 1).all() and got[got.doc_id >= 9000].predicted.sum() == 0
 
 
+def test_clean_words_vote_as_well(docs, spark):
+    rng = random.Random(9)
+    rows = [(i, " ".join([f"w{rng.randrange(400)}" for _ in range(20)] + (["kindly"] if i % 3 else ["grukly"]))) for i in range(600)]
+    known = [(float(i % 3 == 0), t) for i, t in rows]
+    import pyarrow as pa
+
+    from ocutide.llm.textbatch import TextBatch
+
+    def words(t):
+        h, _ = T.features(TextBatch(pa.array([t])))
+        return sorted({int(x) for x in h.view(np.int64)})
+
+    table = spark.createDataFrame([(y, words(t)) for y, t in known], "y double, words array<bigint>")
+    key = lambda w: np.uint64(T.word_key(w))
+    assert key("kindly") in T.choose(table, 15, 8.0, 2.0, 0, -1) and key("grukly") not in T.choose(table, 15, 8.0, 2.0, 0, -1)
+    assert key("grukly") in T.choose(table, 15, 4.0, 2.0, 3, 1)
+
+
+def plain_label_model(patterns, a, b, none, prior):
+    """Expectation maximisation over (set of voters, number of texts), voter by voter."""
+    m, a0, b0 = len(a), list(a), list(b)
+    w = [math.log(x / y) for x, y in zip(a, b, strict=True)]
+    for _ in range(T.EM_ROUNDS):
+        post = []
+        for votes, n in patterns:
+            z = math.log(prior / (1 - prior)) + (sum(w[j] for j in votes) if votes else math.log(none[0] / none[1]))
+            post.append((votes, n, n / (1 + math.exp(-max(min(z, 30), -30)))))
+        t, n = sum(x[2] for x in post), sum(x[1] for x in post)
+        fired = lambda *js: sum(x[2] for x in post if set(js) <= x[0])
+        raw = [(fired(j) + 0.1) / (t + 1) for j in range(m)]
+        clean = [(sum(x[1] - x[2] for x in post if j in x[0]) + 0.1) / (n - t + 10) for j in range(m)]
+        new_a, new_b = ([math.sqrt(x * y) for x, y in zip(p, q, strict=True)] for p, q in ((a0, raw), (b0, clean)))
+        t0, n0 = sum(x[2] for x in post if not x[0]), sum(x[1] for x in post if not x[0])
+        none = [(t0 + 0.5) / (t + 1), (n0 - t0 + 0.5) / (n - t + 1)]
+        prior = min(max((t + 1) / (n + 2), 1e-4), 0.5)
+        new = []
+        for j in range(m):
+            twins = 0.0
+            for k in range(m):
+                rho = (fired(j, k) / t - raw[j] * raw[k]) / math.sqrt(raw[j] * (1 - raw[j]) * raw[k] * (1 - raw[k]))
+                twins += min(rho, 1) if k != j and rho > 0.6 else 0
+            new.append(math.log(new_a[j] / new_b[j]) / (1 + twins))
+        moved, w = max(abs(x - y) for x, y in zip(w, new, strict=True)), new
+        if moved < T.TOLERANCE:
+            break
+    base = math.log(prior / (1 - prior))
+    return w, base + math.log(none[0] / none[1]), base
+
+
+def test_label_model_against_plain_python(spark):
+    rng = random.Random(5)
+    counts = {}
+    for _ in range(4000):
+        toxic = rng.random() < 0.15
+        first = rng.random() < (0.5 if toxic else 0.01)
+        votes = {0, 1} if first else set()  # twins
+        votes |= {j for j in (2, 3) if rng.random() < (0.4 if toxic else 0.02)} | ({4} if rng.random() < (0.02 if toxic else 0.6) else set())
+        counts[frozenset(votes)] = counts.get(frozenset(votes), 0) + 1
+    a, b, none, prior = np.array([0.4, 0.4, 0.3, 0.3, 0.05]), np.array([0.02, 0.02, 0.05, 0.05, 0.5]), np.array([0.2, 0.4]), 0.2
+    table = spark.createDataFrame([(sum(1 << j for j in v), n) for v, n in counts.items()], "votes bigint, n bigint")
+    w, idle, base = T.fit_label_model(table, a, b, none, prior)
+    want = plain_label_model(list(counts.items()), a, b, none, prior)
+    assert np.allclose(w, want[0]) and abs(idle - want[1]) < 1e-9 and abs(base - want[2]) < 1e-9
+    assert w[4] < 0 < w[2] and w[0] < w[2]  # twins share a voice
+
+
+def test_toxicity_of_repeated_rows(docs, spark):
+    rows = [(i, f"you are a {'moron' if i % 4 == 0 else 'friend'} w{i}") for i in range(60)] * 2 + [(4, "another text")]
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(60)] + [(4, 1, 0), (5, 1, None), (None, 1, 1)], "doc_id bigint, quality int, toxic int")
+    got = T.toxicity(docs(rows), labels).collect()
+    assert len(got) == len(rows)
+    scores = {}
+    for r in got:
+        scores.setdefault(r.doc_id, set()).add(r.score)
+    assert all(len(v) == (2 if k == 4 else 1) for k, v in scores.items())
+
+
 @pytest.mark.parametrize("labels", [[], [(1, 1, 0)], [(1, 1, None)]])
 def test_toxicity_without_labels_uses_the_lexicon(docs, spark, labels):
     table = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
