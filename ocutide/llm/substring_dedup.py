@@ -1,19 +1,19 @@
-"""Substring deduplication by sliding spans of clauses and their pieces.
+"""Substring deduplication by sliding sentence spans.
 
 Sentences end at ``.``, ``!`` or ``?`` before white space, at a newline and at the
-end of the text; their clauses, which end at ``,``, ``;`` or ``:`` before white space,
-count as sentences too.  For the search each is cut into pieces before every word
+end of the text.  For the search each is cut into pieces before every word
 whose hash is the least of ``NEAR`` words to either side (equals all count, so repeated
-words are cut as well): a cut depends on its neighbours only, whatever the clause
+words are cut as well): a cut depends on its neighbours only, whatever the sentence
 around it, so a passage that begins and ends in mid-sentence has the same cuts
 everywhere but for ``NEAR`` words at its edges.  From every piece a run goes to the
 first end of a piece that makes it ``RUN`` pieces and ``MIN_WORDS`` words or more; to
 every end of a sentence another comes from the last such start, so that nothing is
-left over there.  A run is hashed over its lower-cased words, whatever the cuts
-inside it.  Hashes are joined across the whole corpus, and each piece covered by a run
-that isn't its first occurrence (smallest doc_id, then earliest place) is removed;
-``n_removed`` counts the sentences that lose words.  Up to ``NEAR`` words of a sentence
-that keeps others stay.
+left over there.  A text too short for any run is one run as a whole.  A run is hashed
+over its lower-cased words, whatever the cuts inside it.  Hashes are joined across the
+whole corpus, and each piece covered by a run that isn't its first occurrence (smallest
+doc_id, then earliest place) is removed; ``n_removed`` counts the sentences that lose
+words.  Up to ``NEAR`` words of a sentence that keeps others stay.  What repeats in fewer
+than ``MIN_WORDS`` words, inside longer texts, stays as well.
 
 Shuffles: (hash, doc_id) once to find the first occurrence of repeated runs, which
 is combined before the shuffle, and once for the join, in which a hot run is an
@@ -39,15 +39,15 @@ RUN, MIN_WORDS = 2, 20
 #: Words to either side among which the word after a cut has the least hash.
 NEAR = 4
 _STOP = np.zeros(256, bool)
-_STOP[list(b".!?,;:")] = True
+_STOP[list(b".!?")] = True
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 
-def sentences(b: TextBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each sentence that has a word: end byte (past its white space up to the next line), text, first word, end word, whether it ends more than a clause."""
+def sentences(b: TextBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each sentence that has a word: text, first word, end word."""
     n = len(b.data)
     if not n:
-        return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, bool),)
+        return (np.zeros(0, np.int64),) * 3
     b.words(lower=True)
     edge = np.zeros(n + 1, bool)
     edge[b.offsets] = True
@@ -59,13 +59,8 @@ def sentences(b: TextBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     doc = np.searchsorted(b.offsets, stop - 1, "right") - 1
     last = np.searchsorted(b.starts, stop, "left")
     first = np.concatenate([[0], last[:-1]])
-    # a line or text may end in white space after its last stop
-    full = edge[stop] | (np.isin(b.data, list(b".!?\n")))[stop - 1]
     real = last > first
-    owner = np.cumsum(real) - 1
-    total = np.zeros(int(real.sum()), bool)
-    total[owner[full & (owner >= 0)]] = True
-    return stop[real], doc[real], first[real], last[real], total
+    return doc[real], first[real], last[real]
 
 
 def cuts(b: TextBatch) -> np.ndarray:
@@ -79,17 +74,20 @@ def cuts(b: TextBatch) -> np.ndarray:
 
 
 def pieces(b: TextBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each piece of a sentence: end byte, text, first word, end word, index of its sentence, whether a sentence (more than a clause) ends with it."""
-    stop, doc, first, last, full = sentences(b)
+    """Of each piece of a sentence: end byte (where the next word begins), text, first word, end word, index of its sentence, whether the sentence ends with it."""
+    doc, first, last = sentences(b)
     if not len(first):
-        return stop, doc, first, last, first, full
+        return first, doc, first, last, first, np.zeros(0, bool)
     begins = cuts(b)
     begins[first] = True
     start = np.flatnonzero(begins)
     end = np.append(start[1:], len(b.hash))
     of = np.searchsorted(first, start, "right") - 1
     whole = end == last[of]
-    return np.where(whole, stop[of], b.starts[np.minimum(end, len(b.starts) - 1)]), doc[of], start, end, of, whole & full[of]
+    # white space goes with the piece before it, so what is left of a text never runs together
+    following = np.minimum(end, len(b.starts) - 1)
+    inside = (end < len(b.starts)) & (b.doc[following] == doc[of])
+    return np.where(inside, b.starts[following], b.offsets[doc[of] + 1]), doc[of], start, end, of, whole
 
 
 def _prefix_sums(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -100,7 +98,7 @@ def _prefix_sums(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def runs(b: TextBatch, run: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, text, first piece (within the text) and number of pieces of each run, by place; and nothing of texts too short for one."""
+    """Hash, text, first piece (within the text) and number of pieces of each run, by place."""
     _, doc, first, last, _, full = pieces(b)
     m = len(first)
     if not m:
@@ -118,6 +116,11 @@ def runs(b: TextBatch, run: int, min_words: int) -> tuple[np.ndarray, np.ndarray
     e, back = e[fine] + 1, back[fine]
     fresh = end[back] != e
     i, end = np.concatenate([i[ok], back[fresh]]), np.concatenate([end[ok], e[fresh]])
+    # a text too short for that is one run
+    has = np.zeros(b.n, bool)
+    has[doc[i]] = True
+    short = np.flatnonzero((np.arange(m) == start) & ~has[doc])
+    i, end = np.concatenate([i, short]), np.concatenate([end, stop[short]])
     order = np.lexsort((end, i))
     i, end = i[order], end[order]
     total, inverse = _prefix_sums(b.hash)

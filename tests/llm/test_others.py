@@ -30,32 +30,94 @@ def test_repeats_within_one_text(docs):
     assert (r.n_sentences, r.n_removed) == (16, 8)
 
 
-def test_repeats_against_plain_python(docs):
-    rng = random.Random(2)
-    words = ["alpha", "beta", "gamma", "delta"]
-    t = [" ".join(" ".join(rng.choice(words) for _ in range(rng.randrange(1, 6))) + rng.choice([".", "!", ",", ".\n"]) for _ in range(rng.randrange(25))) for _ in range(60)]
-
-    def sentences(x):
-        out, cur = [], ""
-        for i, c in enumerate(x):
-            cur += c
-            if c == "\n" or c in ".!?,;:" and i + 1 < len(x) and x[i + 1] in " \t\n\x0b\x0c\r" or i + 1 == len(x):
-                if cur.split():
-                    out.append(tuple(cur.split()))
-                cur = ""
-        return out
-
-    first, removed = {}, []
+def plain_pieces(text, rank):
+    """Sentences of a text, each as pieces of words; ``rank``: the order of words at which they are cut."""
+    out, cur = [], ""
+    for i, c in enumerate(text):
+        cur += c
+        if c == "\n" or c in ".!?" and i + 1 < len(text) and text[i + 1] in " \t\n\x0b\x0c\r" or i + 1 == len(text):
+            if cur.split():
+                out.append(cur.lower().split())
+            cur = ""
+    words = [w for s in out for w in s]
+    cut = [all(rank[w] <= rank[v] for v in words[max(i - S.NEAR, 0) : i + S.NEAR + 1]) for i, w in enumerate(words)]
+    at, pieces = 0, []
+    for k, s in enumerate(out):
+        for i, w in enumerate(s):
+            if i == 0 or cut[at + i]:
+                pieces.append((k, []))
+            pieces[-1][1].append(w)
+        at += len(s)
+    return len(out), pieces
+
+
+def plain_runs(pieces):
+    """Ranges of pieces."""
+    m, size = len(pieces), lambda i, j: sum(len(p) for _, p in pieces[i:j])
+    fits = lambda i, j: j - i >= S.RUN and size(i, j) >= S.MIN_WORDS
+    found = []
+    for i in range(m):
+        end = next((j for j in range(i + 1, m + 1) if fits(i, j)), None)
+        if end:
+            found.append((i, end))
+    for j in range(1, m + 1):
+        if j == m or pieces[j][0] != pieces[j - 1][0]:
+            begin = next((i for i in range(j - 1, -1, -1) if fits(i, j)), None)
+            if begin is not None:
+                found.append((begin, j))
+    return sorted(set(found)) or ([(0, m)] if m else [])
+
+
+@pytest.mark.parametrize("longest", [6, 40])
+def test_repeats_against_plain_python(docs, longest):
+    import pyarrow as pa
+
+    from ocutide.llm.textbatch import TextBatch
+
+    rng = random.Random(longest)
+    words = ["alpha", "beta", "gamma", "delta"] if longest < 10 else [f"w{i}" for i in range(60)]
+    sentence = lambda: " ".join(rng.choice(words) for _ in range(rng.randrange(1, longest)))
+    pool = [sentence() for _ in range(12)]
+    end = lambda: rng.choice([".", "!", ",", ".\n", ";"])
+    t = [" ".join((rng.choice(pool) if rng.random() < 0.5 else sentence()) + end() for _ in range(rng.randrange(25 if longest < 10 else 12))) for _ in range(60)]
+    t = [x + (" " + " ".join(p + "." for p in pool) if rng.random() < 0.4 else "") for x in t]
+    spelled = sorted({w for x in t for w in x.lower().split()})
+    b = TextBatch(pa.array([" ".join(spelled)]))
+    b.words(lower=True)
+    rank = dict(zip(spelled, b.hash.tolist(), strict=True))
+    first, want = {}, []
     for d, x in enumerate(t):
-        s, gone = sentences(x), set()
-        for i in range(len(s)):
-            for j in range(i + S.RUN, len(s) + 1):
-                if sum(map(len, s[i:j])) >= S.MIN_WORDS:
-                    if first.setdefault(tuple(s[i:j]), (d, i)) != (d, i):
-                        gone |= set(range(i, j))
-                    break
-        removed.append((len(s), len(gone)))
-    assert [(r.n_sentences, r.n_removed) for r in S.substring_dedup(docs(t)).orderBy("doc_id").collect()] == removed
+        n, pieces = plain_pieces(x, rank)
+        gone = set()
+        for i, j in plain_runs(pieces):
+            run = tuple(w for _, p in pieces[i:j] for w in p)
+            if first.setdefault(run, (d, i)) != (d, i):
+                gone |= set(range(i, j))
+        # stretches of a few words of a sentence that keeps others stay
+        for k in range(n):
+            own = [i for i, p in enumerate(pieces) if p[0] == k]
+            stretch = []
+            for i in [*own, None]:
+                if i in gone:
+                    stretch.append(i)
+                    continue
+                if stretch and len(stretch) < len(own) and sum(len(pieces[q][1]) for q in stretch) <= S.NEAR:
+                    gone -= set(stretch)
+                stretch = []
+        want.append((n, len({pieces[i][0] for i in gone}), [w for i, (_, p) in enumerate(pieces) if i not in gone for w in p]))
+    got = S.substring_dedup(docs(t)).orderBy("doc_id").collect()
+    assert [(r.n_sentences, r.n_removed, r.text.lower().split()) for r in got] == want
+    assert sum(w[1] > 0 for w in want) > 10
+
+
+def test_short_texts_are_searched(docs):
+    two = "This sentence has eleven words in it, as you can see. And so does this one, which has eleven words too."
+    six = "Red is one. Blue is two. Green is six. Grey is ten. Pink is out. Teal is in."
+    t = [two] * 5 + [six] * 3 + ["no " * 200] * 3 + ["Unique."]
+    got = {r.doc_id: r for r in S.substring_dedup(docs(t)).collect()}
+    assert [got[i].n_removed > 0 and not got[i].text for i in range(11)] == [i not in (0, 5, 8) for i in range(11)]
+    assert [got[i].n_removed for i in (0, 5, 11)] == [0, 0, 0]
+    assert len(got[8].text.split()) < 30  # its own repeats go as well
 
 
 def test_dedup_empty_and_repeated_rows(docs):
