@@ -57,16 +57,14 @@ def detect_troughs(samples: DataFrame, p: Params) -> DataFrame:
 
 
 def concatenated(samples: DataFrame, epochs: DataFrame) -> DataFrame:
-    """Samples of the kept epochs as one signal; ``frame`` is the true frame (D3)."""
-    kept = samples.join(epochs.select("rec_id", "epoch_id", "start_i", "end_i"), "rec_id").where("i >= start_i AND i < end_i") if epochs.isStreaming else _tile(samples, epochs)
-    order = W.partitionBy(*KEYS).orderBy("frame")
-    return kept.withColumnRenamed("i", "frame").withColumn("i", F.row_number().over(order).cast("bigint") - 1)
+    """Samples of the kept epochs as one signal; ``frame`` is the true frame (D3).
 
-
-def _tile(samples: DataFrame, epochs: DataFrame) -> DataFrame:
-    """Equi-join of samples to equally long epochs."""
-    frames = epochs.select("rec_id", F.explode(F.sequence("start_i", F.col("end_i") - 1)).alias("i"))
-    return samples.join(frames, ["rec_id", "i"])
+    Places follow from the lengths of the epochs before, which are few; samples are not ranked.
+    """
+    before = W.partitionBy("rec_id").orderBy("start_i").rowsBetween(W.unboundedPreceding, -1)
+    shift = F.coalesce(F.sum(F.col("end_i") - F.col("start_i")).over(before), F.lit(0)) - F.col("start_i")
+    frames = epochs.select("rec_id", "epoch_id", "start_i", "end_i", shift.alias("shift")).select("rec_id", "epoch_id", "start_i", "end_i", "shift", F.explode(F.sequence("start_i", F.col("end_i") - 1)).alias("i"))
+    return samples.join(frames, ["rec_id", "i"]).withColumnRenamed("i", "frame").withColumn("i", (F.col("frame") + F.col("shift")).cast("bigint")).drop("shift", "epoch_id", "start_i", "end_i")
 
 
 def micropauses(samples: DataFrame, by: tuple[str, ...], in_blink: str, p: Params, ratio: float = 0.5, least: float = 0.1, most: float = 0.3) -> DataFrame:

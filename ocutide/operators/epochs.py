@@ -18,8 +18,16 @@ def epoch_of(frame: Column, frames: int) -> Column:
 
 
 def full_epochs(lengths: DataFrame, frames: int) -> DataFrame:
-    """Complete epochs of each recording (I1, I3): rec_id, epoch_id, start_i, end_i (exclusive). ``lengths``: rec_id, n."""
-    k = F.floor(F.col("n") / frames)
+    """Complete epochs of each recording (I3): rec_id, epoch_id, start_i, end_i (exclusive). ``lengths``: rec_id, n."""
+    return _tiles(lengths, F.floor(F.col("n") / frames), frames)
+
+
+def full_segments(lengths: DataFrame, frames: int) -> DataFrame:
+    """Segments that end at the time of the last frame at most (I1): as ``full_epochs``, but one less where the length is a whole multiple."""
+    return _tiles(lengths, F.floor((F.col("n") - 1) / frames), frames)
+
+
+def _tiles(lengths: DataFrame, k: Column, frames: int) -> DataFrame:
     ids = lengths.where(k > 0).select("rec_id", F.explode(F.sequence(F.lit(0).cast("bigint"), k - 1)).alias("epoch_id"))
     return ids.select("rec_id", "epoch_id", (F.col("epoch_id") * frames).alias("start_i"), ((F.col("epoch_id") + 1) * frames).alias("end_i"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -97,6 +98,14 @@ def _(spark, d):
     return _epochs(_samples(spark, d)).select(F.col("rec_id").alias("ch"), "epoch_id", epochs.segment_name(e, e * SECONDS, (e + 1) * SECONDS).alias("name"))
 
 
+@query("A4_read_counts", "SELECT epoch_id, n_blinks AS blink_count FROM mapped")
+def _(spark, d):
+    path = f"{tables.shared_folder(spark)}/counts-{uuid.uuid4().hex}"
+    counts = _mapped(spark, d)[0].select("epoch_id", F.size("blink_onset").cast("bigint").alias("blink_count"))
+    counts.write.csv(path, header=True)
+    return tables.read_counts(spark, path)
+
+
 def _windows_in_epochs(spark, d) -> tuple[DataFrame, DataFrame]:
     s = _own(_samples(spark, d))
     return epochs.overlap_windows(_ann(spark, d), _epochs(s), SECONDS, P.sfreq), s
@@ -234,16 +243,7 @@ def _(spark, d):
     return epochs.boundary_cross(e, landmarks.channel_lengths(s)).select("epoch_id", "ch")
 
 
-@query("C9_remap", "SELECT ch, start_blink, CAST(epoch_id / 2 AS BIGINT) AS place FROM major WHERE epoch_id % 2 = 0")
-def _(spark, d):
-    s = _own(_samples(spark, d))
-    e = _epochs(s)
-    b = epochs.assign_epochs(_own(_blinks(spark, d)[0]), e, FRAMES).withColumnRenamed("epoch_id", "seg_id")
-    kept = e.where("epoch_id % 2 = 0").select("rec_id", F.col("epoch_id").alias("seg_id"), (F.col("epoch_id") / 2).cast("bigint").alias("epoch_id"))
-    return epochs.remap(b, kept).select("ch", "start_blink", F.col("epoch_id").alias("place"))
-
-
-@query("C9_remap_whole", "SELECT ch, start_blink, epoch_id AS place FROM major")
+@query("C9_remap", "SELECT ch, start_blink, epoch_id AS place FROM major")
 def _(spark, d):
     e = _epochs(_own(_samples(spark, d)))
     b = epochs.assign_epochs(_own(_blinks(spark, d)[0]), e, FRAMES).withColumnRenamed("epoch_id", "seg_id")
@@ -302,13 +302,7 @@ def _(spark, d):
     return detect.detect_blinks(_samples(spark, d), P, True).select("ch", "start_blink", "end_blink")
 
 
-@query("D3_find_blinks_epoch", _variant(f"SELECT s.ch, row_number() OVER (PARTITION BY s.ch ORDER BY s.i) - 1 AS i, v FROM samples AS s JOIN len USING (ch) WHERE s.i < floor(n / {FRAMES}) * {FRAMES} AND (s.i // {FRAMES}) % 3 <> 1", "5"))
-def _(spark, d):
-    s = _own(_samples(spark, d))
-    return detect.detect_blinks(detect.concatenated(s, _epochs(s).where("epoch_id % 3 <> 1")), P, True).select("ch", "start_blink", "end_blink")
-
-
-@query("D3_find_blinks_epoch_whole", _variant(f"SELECT s.ch, s.i, v FROM samples AS s JOIN len USING (ch) WHERE s.i < floor(n / {FRAMES}) * {FRAMES}", "5"))
+@query("D3_find_blinks_epoch", _variant(f"SELECT s.ch, s.i, v FROM samples AS s JOIN len USING (ch) WHERE s.i < floor(n / {FRAMES}) * {FRAMES}", "5"))
 def _(spark, d):
     s = _own(_samples(spark, d))
     return detect.detect_blinks(detect.concatenated(s, _epochs(s)), P, True).select("ch", "start_blink", "end_blink")
@@ -424,20 +418,12 @@ def _(spark, d):
     return detect.robust_stats(_samples(spark, d), "v").select("ch", F.round("mean", 4).alias("mean"), "med", "mad")
 
 
-_LINE = "FROM lineitem WHERE l_partkey <= 40"
-
-
-@query("F2_pearson", f"WITH x AS (SELECT l_partkey AS k, l_quantity AS a, l_extendedprice AS b {_LINE}) SELECT k, count(*) AS n, round(CASE WHEN count(*) > 1 THEN corr(a, b) END, 6) AS r FROM x GROUP BY k")
-def _(spark, d):
-    return _pearson(_read(spark, d, "lineitem").where("l_partkey <= 40"))
-
-
 def _pearson(lines: DataFrame) -> DataFrame:
     x = lines.select(F.col("l_partkey").alias("k"), F.col("l_quantity").alias("a"), F.col("l_extendedprice").alias("b"))
     return _round(correlation.corr(x, ["k"], "a", "b"), ["r"], 6, ("k", "n"))
 
 
-@query("F2_pearson_whole", "WITH x AS (SELECT l_partkey AS k, l_quantity AS a, l_extendedprice AS b FROM lineitem) SELECT k, count(*) AS n, round(CASE WHEN count(*) > 1 THEN corr(a, b) END, 6) AS r FROM x GROUP BY k")
+@query("F2_pearson", "WITH x AS (SELECT l_partkey AS k, l_quantity AS a, l_extendedprice AS b FROM lineitem) SELECT k, count(*) AS n, round(CASE WHEN count(*) > 1 THEN corr(a, b) END, 6) AS r FROM x GROUP BY k")
 def _(spark, d):
     return _pearson(_read(spark, d, "lineitem"))
 
@@ -452,11 +438,11 @@ def _(spark, d):
     return _round(correlation.corr(x, ["k"], "a", "b", "Spearman"), ["r"], 6, ("k", "n"))
 
 
-@query("F2_kendall", """WITH x AS (SELECT l_partkey AS k, l_quantity AS a, l_discount AS b, row_number() OVER () AS id FROM lineitem WHERE l_partkey <= 40),
+@query("F2_kendall", """WITH x AS (SELECT l_partkey AS k, l_quantity AS a, l_discount AS b, row_number() OVER () AS id FROM lineitem),
 p AS (SELECT x.k, sum(sign(y.a - x.a) * sign(y.b - x.b)) AS s, count(*) FILTER (x.a <> y.a) AS na, count(*) FILTER (x.b <> y.b) AS nb FROM x JOIN x AS y ON x.k = y.k AND x.id < y.id GROUP BY x.k)
 SELECT k, n, round(s / nullif(sqrt(CAST(na AS DOUBLE) * nb), 0), 6) AS r FROM (SELECT k, count(*) AS n FROM x GROUP BY k) LEFT JOIN p USING (k)""")
 def _(spark, d):
-    return _kendall(_read(spark, d, "lineitem").where("l_partkey <= 40"))
+    return _kendall(_read(spark, d, "lineitem"))
 
 
 def _kendall(lines: DataFrame) -> DataFrame:
@@ -464,11 +450,6 @@ def _kendall(lines: DataFrame) -> DataFrame:
     return _round(correlation.corr(x, ["k"], "a", "b", "Kendall"), ["r"], 6, ("k", "n"))
 
 
-@query("F2_kendall_whole")
-def _(spark, d):
-    return _kendall(_read(spark, d, "lineitem"))
-
-
 @query("F3_weighted_corr", "WITH x AS (SELECT l_suppkey % 5 AS k, l_quantity AS a, l_extendedprice AS b, l_tax + 0.01 AS w FROM lineitem), m AS (SELECT k, sum(w * a) / sum(w) AS ma, sum(w * b) / sum(w) AS mb FROM x GROUP BY k) SELECT k, round(sum(w * (a - ma) * (b - mb)) / sqrt(sum(w * (a - ma) * (a - ma)) * sum(w * (b - mb) * (b - mb))), 6) AS r FROM x JOIN m USING (k) GROUP BY k")
 def _(spark, d):
     x = _read(spark, d, "lineitem").select((F.col("l_suppkey") % 5).alias("k"), F.col("l_quantity").alias("a"), F.col("l_extendedprice").alias("b"), (F.col("l_tax") + 0.01).alias("w"))
@@ -714,7 +695,7 @@ def _level(x: str, taps: tuple[float, ...]) -> str:
 
 
 def _dwt() -> str:
-    out = "WITH a0 AS (SELECT vec_id, list_transform(embedding, lambda y: CAST(y AS DOUBLE)) AS x, least(floor(log2(len(embedding) / 7.0)), 4) AS lv FROM embeddings WHERE vec_id < 40)"
+    out = "WITH a0 AS (SELECT vec_id, list_transform(embedding, lambda y: CAST(y AS DOUBLE)) AS x, least(floor(log2(len(embedding) / 7.0)), 4) AS lv FROM embeddings)"
     for k in range(1, 5):
         out += f",\na{k} AS (SELECT vec_id, lv, CASE WHEN lv >= {k} THEN {_level('x', wavelet.DEC_LO)} ELSE x END AS x, CASE WHEN lv >= {k} THEN {_level('x', wavelet.DEC_HI)} END AS d FROM a{k - 1})"
     cols = ", ".join(f"round(list_sum(list_transform(a{k}.d, lambda y: y * y)), 6) AS detail_energy_L{k}" for k in range(1, 5))
@@ -723,7 +704,7 @@ def _dwt() -> str:
 
 @query("G11_wavelet_energy", _dwt())
 def _(spark, d):
-    return _wavelet_energies(_read(spark, d, "embeddings").where("vec_id < 40"))
+    return _wavelet_energies(_read(spark, d, "embeddings"))
 
 
 def _wavelet_energies(vectors: DataFrame) -> DataFrame:
@@ -731,11 +712,6 @@ def _wavelet_energies(vectors: DataFrame) -> DataFrame:
     return _round(wavelet.with_energies(e, "x", P.sfreq, ["vec_id"]), [f"detail_energy_L{k}" for k in range(1, 5)], 6, ("vec_id",))
 
 
-@query("G11_wavelet_energy_whole")
-def _(spark, d):
-    return _wavelet_energies(_read(spark, d, "embeddings"))
-
-
 @query("G12_frequency_features")
 def _(spark, d):
     w, s = _window_signals(spark, d)
@@ -769,9 +745,10 @@ def _(spark, d):
 # -- segmentation
 
 
-@query("I1_full_segments", f"SELECT ch, epoch_id, epoch_id * {FRAMES} AS start_i, (epoch_id + 1) * {FRAMES} AS end_i FROM ep")
+@query("I1_full_segments", f"SELECT ch, epoch_id, epoch_id * {FRAMES} AS start_i, (epoch_id + 1) * {FRAMES} AS end_i FROM (SELECT ch, unnest(range(CAST((n - 1) // {FRAMES} AS BIGINT))) AS epoch_id FROM len)")
 def _(spark, d):
-    return _epochs(_samples(spark, d)).withColumnRenamed("rec_id", "ch")
+    lengths = landmarks.channel_lengths(_samples(spark, d)).select(F.col("ch").alias("rec_id"), "n")
+    return epochs.full_segments(lengths, FRAMES).withColumnRenamed("rec_id", "ch")
 
 
 @query("I2_all_segments", f"SELECT l.ch, e.epoch_id, epoch_id * {FRAMES} AS start_i, least((epoch_id + 1) * {FRAMES}, n - 1) AS end_i, (SELECT count(*) FROM ann AS a WHERE a.ch = l.ch AND floor(onset * 100.0 / {FRAMES}) = epoch_id) AS blink_count FROM len AS l, (SELECT unnest(range(10000)) AS epoch_id) AS e WHERE epoch_id < ceil((n - 1) / {FRAMES})")
@@ -845,14 +822,7 @@ def _(spark, d):
     return landmarks.zero_crossings(landmarks.find_peaks(b, s), s).dropna("any").select("ch", "start_blink")
 
 
-@query("C10_segment_rows", f"SELECT b.ch, start_blink, epoch_id AS seg_id FROM blinks AS b JOIN ep ON ep.ch = b.ch AND b.start_blink // {FRAMES} = epoch_id WHERE epoch_id < 3")
-def _(spark, d):
-    s = _own(_samples(spark, d))
-    b = _own(_blinks(spark, d)[0]).withColumn("seg_id", epochs.epoch_of(F.col("start_blink"), FRAMES))
-    return b.join(_epochs(s).where("epoch_id < 3").select("rec_id", F.col("epoch_id").alias("seg_id")), ["rec_id", "seg_id"]).select("ch", "start_blink", "seg_id")
-
-
-@query("C10_segment_rows_whole", f"SELECT b.ch, start_blink, epoch_id AS seg_id FROM blinks AS b JOIN ep ON ep.ch = b.ch AND b.start_blink // {FRAMES} = epoch_id")
+@query("C10_segment_rows", f"SELECT b.ch, start_blink, epoch_id AS seg_id FROM blinks AS b JOIN ep ON ep.ch = b.ch AND b.start_blink // {FRAMES} = epoch_id")
 def _(spark, d):
     s = _own(_samples(spark, d))
     b = _own(_blinks(spark, d)[0]).withColumn("seg_id", epochs.epoch_of(F.col("start_blink"), FRAMES))
@@ -925,13 +895,7 @@ for _name, _columns in {
     _part(_name, "H2_fitted_properties", _columns, ("ch", "start_blink"))
 
 
-@query("F21_group_by_epoch", f"SELECT ch, epoch_id, count(*) AS n_blinks, min(start_rel) AS first_start FROM ow WHERE epoch_id < 4 GROUP BY ALL")
-def _(spark, d):
-    w, _ = _windows_in_epochs(spark, d)
-    return w.where("epoch_id >= 0 AND epoch_id < 4").groupBy("ch", "epoch_id").agg(F.count("*").alias("n_blinks"), F.min("start_rel").alias("first_start"))
-
-
-@query("F21_group_by_epoch_whole", "SELECT ch, epoch_id, count(*) AS n_blinks, min(start_rel) AS first_start FROM ow GROUP BY ALL")
+@query("F21_group_by_epoch", "SELECT ch, epoch_id, count(*) AS n_blinks, min(start_rel) AS first_start FROM ow GROUP BY ALL")
 def _(spark, d):
     w, _ = _windows_in_epochs(spark, d)
     return w.groupBy("ch", "epoch_id").agg(F.count("*").alias("n_blinks"), F.min("start_rel").alias("first_start"))

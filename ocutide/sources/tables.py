@@ -38,6 +38,17 @@ def read_fif(path: str) -> DataFrame:
     return parts
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names for tables between jobs; a folder of this machine only where all of the session is on it."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return "/tmp/checkpoints"
+
+
 def read_counts(spark: SparkSession, path: str) -> DataFrame:
     """Expected blinks per epoch from a CSV file with a header (A4)."""
     return spark.read.csv(path, schema="epoch_id bigint, blink_count bigint", header=True)

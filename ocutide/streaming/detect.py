@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ocutide.model import KEYS, Params
+from ocutide.sources.tables import shared_folder
 
 OUTPUT = "rec_id string, ch string, start_blink bigint, end_blink bigint"
 STATE = "last bigint, start bigint, pend_start bigint, pend_end bigint, pend_bad boolean"
@@ -80,7 +81,7 @@ def counts_by_window(events: DataFrame, time: str = "ts", width: str = "30 secon
 def run_to_end(stream: DataFrame, name: str = "stream") -> DataFrame:
     """What a stream puts out over the data that is there, through files in the cluster's shared folder."""
     spark = stream.sparkSession
-    place = f"{(spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints').rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    place = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     q = stream.writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{place}/out")

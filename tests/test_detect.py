@@ -175,3 +175,18 @@ def test_metadata_replacement_is_idempotent(spark):
     one = epochs.replace_metadata(old, new)
     assert one.columns == ["rec_id", "epoch_id", "kept", "n_blinks"]
     assert one.exceptAll(epochs.replace_metadata(one, new)).count() == 0
+
+
+def test_segments_of_a_whole_multiple(spark):
+    lengths = spark.createDataFrame([("a", 50), ("b", 51), ("c", 9), ("d", 10), ("e", 1)], "rec_id string, n bigint")
+    count = lambda df: {r.rec_id: r["count"] for r in df.groupBy("rec_id").count().collect()}
+    assert count(epochs.full_segments(lengths, 10)) == {"a": 4, "b": 5}
+    assert count(epochs.full_epochs(lengths, 10)) == {"a": 5, "b": 5, "d": 1}
+
+
+def test_dropped_epochs_close_up(spark):
+    samples = spark.createDataFrame([("r", c, i, float(i)) for c in "xy" for i in range(50)], "rec_id string, ch string, i bigint, v double")
+    kept = epochs.full_epochs(spark.createDataFrame([("r", 50)], "rec_id string, n bigint"), 10).where("epoch_id IN (0, 2, 4)")
+    got = sorted((r.ch, r.i, r.frame, r.v) for r in detect.concatenated(samples, kept).collect())
+    frames = [*range(10), *range(20, 30), *range(40, 50)]
+    assert got == [(c, k, f, float(f)) for c in "xy" for k, f in enumerate(frames)]

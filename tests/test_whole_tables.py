@@ -44,7 +44,7 @@ def kendall(pairs):
 
 def test_correlations_of_every_key(spark, tmp_path):
     rows = lines(spark, tmp_path)
-    for name, column, plain in (("F2_pearson_whole", 1, pearson), ("F2_kendall_whole", 2, kendall)):
+    for name, column, plain in (("F2_pearson", 1, pearson), ("F2_kendall", 2, kendall)):
         got = {r.k: r for r in run(spark, name, tmp_path)}
         assert set(got) == set(rows)
         for k, v in rows.items():
@@ -67,7 +67,7 @@ def test_wavelet_energies_of_every_vector(spark, tmp_path):
     rng = random.Random(6)
     vectors = {i: [rng.gauss(0, 1) for _ in range(64)] for i in (0, 39, 40, 500)}
     spark.createDataFrame(list(vectors.items()), "vec_id bigint, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
-    got = {r.vec_id: r for r in run(spark, "G11_wavelet_energy_whole", tmp_path)}
+    got = {r.vec_id: r for r in run(spark, "G11_wavelet_energy", tmp_path)}
     assert set(got) == set(vectors)
     for i, x in vectors.items():
         assert len(plain_energies(x)) == 3 and got[i].detail_energy_L4 is None
@@ -81,7 +81,7 @@ def test_every_epoch(spark, tmp_path):
     rows = [(i, "click", value(i)) for i in range(3000)]
     spark.createDataFrame(rows, "event_id bigint, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
     want = [p // FRAMES for p in peaks]
-    assert sorted(r.epoch_id for r in run(spark, "F21_group_by_epoch_whole", tmp_path)) == want
-    assert sorted(r.seg_id for r in run(spark, "C10_segment_rows_whole", tmp_path)) == want
-    assert sorted(r.place for r in run(spark, "C9_remap_whole", tmp_path)) == want
-    assert sorted(r.start_blink // FRAMES for r in run(spark, "D3_find_blinks_epoch_whole", tmp_path)) == want
+    assert sorted(r.epoch_id for r in run(spark, "F21_group_by_epoch", tmp_path)) == want
+    assert sorted(r.seg_id for r in run(spark, "C10_segment_rows", tmp_path)) == want
+    assert sorted(r.place for r in run(spark, "C9_remap", tmp_path)) == want
+    assert sorted(r.start_blink // FRAMES for r in run(spark, "D3_find_blinks_epoch", tmp_path)) == want
