@@ -6,10 +6,13 @@ import math
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from ocutide.functions.ranks import rows_below, running_sum
+
+#: Ranks that a running sum of Kendall's tau covers in one task.
+SPAN = 1 << 20
 KINDS, ROWS, TAILS = ("Pearson", "Spearman", "Kendall"), ("all", "complete", "pairwise"), ("both", "right", "left")
 
 
@@ -68,8 +71,9 @@ def _tailed(p: Column, r: Column, tail: str) -> Column:
 
 
 def average_rank(df: DataFrame, by: list[str], c: str, name: str) -> DataFrame:
-    order, ties = W.partitionBy(*by).orderBy(c), W.partitionBy(*by, c)
-    return df.withColumn(name, F.rank().over(order) + (F.count("*").over(ties) - 1) / 2.0)
+    """Rank of a value in its group, ties at their mean."""
+    ranks = rows_below(df, by, c).select(*by, c, (F.col("below") + (F.col("ties") + 1) / 2.0).alias(name))
+    return df.join(ranks, [*by, c])
 
 
 def weighted_corr(df: DataFrame, by: list[str], x: str, y: str, w: str) -> DataFrame:
@@ -81,12 +85,12 @@ def weighted_corr(df: DataFrame, by: list[str], x: str, y: str, w: str) -> DataF
     return centred.groupBy(*by).agg(F.try_divide(F.sum(c(w) * dx * dy), F.sqrt(F.sum(c(w) * dx * dx) * F.sum(c(w) * dy * dy))).alias("r"))
 
 
-def corr(df: DataFrame, by: list[str], x: str, y: str, kind: str = "Pearson", rows: str = "all", tail: str = "both", weights: str | None = None, block: int = 2048) -> DataFrame:
+def corr(df: DataFrame, by: list[str], x: str, y: str, kind: str = "Pearson", rows: str = "all", tail: str = "both", weights: str | None = None) -> DataFrame:
     """Coefficient ``r`` and p-value ``p`` of two columns per group (F2); below two rows both are NULL.
 
     ``rows``: "all" gives NULL where a value is missing, "complete" leaves such rows
     out, "pairwise" is as "all".  Weights count for Pearson only, without a p-value.
-    Kendall's tau-b compares all pairs of a group, in blocks of rows.
+    Ranks and Kendall's tau-b come from counts, so a group may be of any size.
     """
     for value, known in ((kind, KINDS), (rows, ROWS), (tail, TAILS)):
         if value not in known:
@@ -97,7 +101,7 @@ def corr(df: DataFrame, by: list[str], x: str, y: str, kind: str = "Pearson", ro
     if kind == "Pearson" and weights:
         found = weighted_corr(base, by, x, y, weights).withColumn("p", F.lit(None).cast("double"))
     elif kind == "Kendall":
-        found = _kendall(base, by, x, y, block)
+        found = _kendall(base, by, x, y)
         found = found.withColumn("p", _tailed(_p_kendall("r", F.col("m").cast("double")), F.col("r"), tail)).drop("m")
     else:
         if kind == "Spearman":
@@ -111,19 +115,29 @@ def corr(df: DataFrame, by: list[str], x: str, y: str, kind: str = "Pearson", ro
     return out.select(*by, "n", F.when(ok & (F.col("n") > 1), F.col("r")).alias("r"), F.when(ok & (F.col("n") > 1), F.col("p")).alias("p"))
 
 
-def _kendall(df: DataFrame, by: list[str], x: str, y: str, block: int) -> DataFrame:
-    """Concordance of all pairs: each row meets the blocks of rows at its place or after, so no task holds a whole group."""
-    c = F.col
-    placed = df.select(*by, c(x).cast("double").alias("_x"), c(y).cast("double").alias("_y")).withColumn("_k", F.row_number().over(W.partitionBy(*by).orderBy("_x", "_y")) - 1)
-    blocks = placed.groupBy(*by, F.floor(c("_k") / block).alias("_b")).agg(F.collect_list(F.struct("_k", "_x", "_y")).alias("_rows"))
-    last = placed.groupBy(*by).agg(F.floor(F.max("_k") / block).alias("_last"))
-    probes = placed.join(last, by).select(*by, "_k", "_x", "_y", F.explode(F.sequence(F.floor(c("_k") / block), "_last")).alias("_b"))
-    sign = lambda r: F.signum(r["_x"] - c("_x")) * F.signum(r["_y"] - c("_y"))
-    score = F.aggregate("_rows", F.lit(0.0), lambda a, r: a + F.when(r["_k"] > c("_k"), sign(r)).otherwise(0.0))
-    s = probes.join(blocks, [*by, "_b"]).groupBy(*by).agg(F.sum(score).alias("_s"))
-    n = placed.groupBy(*by).agg(F.count("*").alias("m"))
+def _kendall(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
+    """Tau-b from the number of pairs that rise in both columns, counted by halving.
+
+    Two places in the order of x first differ in one binary digit; at that digit the row
+    that has 0 is below the other.  So per digit and common prefix, running sums along y
+    count the pairs: rows times digits in all, and no task holds a group.
+    """
+    c, pairs = F.col, lambda n: n * (n - 1) / 2
+    # equal rows are combined first, so that ties don't grow
+    both = df.groupBy(*by, c(x).cast("double").alias("_x"), c(y).cast("double").alias("_y")).agg(F.count("*").alias("_m"))
+    n = both.groupBy(*by).agg(F.sum("_m").alias("m"), F.sum(pairs(c("_m"))).alias("_txy"))
+    placed = both
     for v in ("_x", "_y"):
-        ties = placed.groupBy(*by, v).agg(F.count("*").alias("t")).groupBy(*by).agg(F.sum(c("t") * (c("t") - 1) / 2).alias(f"t{v}"))
-        n = n.join(ties, by)
-    pairs = c("m") * (c("m") - 1) / 2
-    return s.join(n, by).select(*by, F.try_divide(c("_s"), F.sqrt((pairs - c("t_x")) * (pairs - c("t_y")))).alias("r"), "m")
+        values = rows_below(df.select(*by, c(x if v == "_x" else y).cast("double").alias(v)), by, v)
+        n = n.join(values.groupBy(*by).agg(F.sum(pairs(c("ties"))).alias(f"_t{v}")), by)
+        placed = placed.join(values.select(*by, v, c("below").alias(f"_r{v}")), [*by, v])
+    digits = n.select(*by, F.length(F.bin(c("m"))).alias("_digits"))
+    spread = placed.join(digits, by).select(*by, "_r_x", "_r_y", "_m", F.posexplode(F.sequence(F.lit(1), "_digits")).alias("_digit", "_")).drop("_")
+    digit = F.expr("shiftright(_r_x, _digit) & 1")
+    node = [*by, "_digit", "_prefix"]
+    halves = spread.withColumn("_prefix", F.expr("shiftright(_r_x, _digit + 1)")).groupBy(*node, "_r_y").agg(F.sum(F.when(digit == 0, c("_m")).otherwise(0)).alias("_low"), F.sum(F.when(digit == 1, c("_m")).otherwise(0)).alias("_high"))
+    run = running_sum(halves.withColumn("_part", F.floor(c("_r_y") / SPAN)), node, "_part", "_r_y", "_low", "_under")
+    rising = run.groupBy(*by).agg(F.sum(c("_under") * c("_high")).cast("double").alias("_up"))
+    total = pairs(c("m"))
+    score = 2 * c("_up") - (total - c("_t_x") - c("_t_y") + c("_txy"))
+    return rising.join(n, by).select(*by, F.try_divide(score, F.sqrt((total - c("_t_x")) * (total - c("_t_y")))).alias("r"), "m")

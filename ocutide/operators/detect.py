@@ -6,15 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ocutide.functions.ranks import exact_median
 from ocutide.functions.scan import last_known
 from ocutide.model import KEYS, MAD_SCALE, Params
 
 
 def robust_stats(df: DataFrame, value: str, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Mean, exact median and unscaled median absolute deviation of a column per key (F1)."""
-    centre = df.groupBy(*keys).agg(F.avg(value).alias("mean"), F.median(value).alias("med"))
-    spread = df.join(centre, list(keys)).groupBy(*keys).agg(F.median(F.abs(F.col(value) - F.col("med"))).alias("mad"))
-    return centre.join(spread, list(keys))
+    by = list(keys)
+    centre = exact_median(df, F.col(value), by, "med", {"mean": F.avg(value)})
+    apart = df.select(*by, value).join(centre, by)
+    return exact_median(apart, F.abs(F.col(value) - F.col("med")), by, "mad", {n: F.any_value(n) for n in ("mean", "med")})
 
 
 def thresholds(samples: DataFrame, p: Params) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from ocutide.model import MAD_SCALE, Params
 
 FRAMES, SECONDS = 100, 1.0
@@ -111,5 +113,11 @@ def sql(final: str) -> str:
     return f"WITH {CTES.strip()}\n{final}"
 
 
+def part(*names: str) -> str:
+    """Some expressions of the chain, for use over other tables."""
+    found = {text.split(" ", 1)[0]: text for text in re.split(r",\n(?=\w+ AS )", CTES.strip().rstrip(","))}
+    return ",\n".join(found[name] for name in names)
+
+
 def rounded(columns: list[str], digits: int = 4) -> str:
     return ", ".join(f"round({c}, {digits}) AS {c}" for c in columns)

@@ -13,8 +13,8 @@ from ocutide.functions import kernels, scan, wavelet
 from ocutide.model import KEYS
 from ocutide.operators import channels, correlation, detect, epochs, features, fit, landmarks, metadata, properties
 from ocutide.plans import pipeline
-from ocutide.plans.oracle import FRAMES, SECONDS, P, rounded, sql
-from ocutide.sources import preprocess, tables
+from ocutide.plans.oracle import FRAMES, SECONDS, P, part, rounded, sql
+from ocutide.sources import preprocess, report, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -118,6 +118,18 @@ def _(spark, d):
     return epochs.first_per_epoch(out, 2).select("ch", "epoch_id", "start_rel", "win_lo", "win_hi")
 
 
+@query("A5_blink_report", f"SELECT ch, epoch_id, count(*) AS n_blinks, CAST(sum(hi - lo + 1) AS BIGINT) AS n_points FROM (SELECT DISTINCT ch, epoch_id, greatest(start_rel - 50, 0) AS lo, least(end_rel + 50, {FRAMES - 1}) AS hi FROM ow) GROUP BY ch, epoch_id")
+def _(spark, d):
+    w, s = _windows_in_epochs(spark, d)
+    padded = epochs.padded_window(metadata.trough_middle(w), FRAMES, P.sfreq)
+    path = f"{tables.shared_folder(spark)}/report-{uuid.uuid4().hex}"
+    report.write_report(report.blink_pages(padded.withColumn("epoch_start", F.col("epoch_id") * FRAMES), s, P.sfreq), path)
+    # digests of what was written
+    page, lines = F.col("value"), F.regexp_extract_all("value", F.lit('points="([^"]*)"'))
+    counted = F.aggregate(F.transform(lines, lambda x: F.size(F.split(x, " "))), F.lit(0), lambda a, n: a + n).cast("bigint")
+    return spark.read.text(path).select(F.col("rec_id").alias("ch"), F.regexp_extract(page, "epoch (\\d+)</h2>", 1).cast("bigint").alias("epoch_id"), F.size(lines).cast("bigint").alias("n_blinks"), counted.alias("n_points"))
+
+
 @query("A7_annotations", "SELECT ch, onset, duration, 'eye_blink' AS label FROM ann")
 def _(spark, d):
     return _ann(spark, d).select("ch", "onset", "duration", "label")
@@ -694,12 +706,33 @@ def _level(x: str, taps: tuple[float, ...]) -> str:
     return f"list_transform(range(({n} + 7) // 2), lambda k: list_sum(list_transform(range(8), lambda j: {list(taps)}[j + 1] * {x}[CASE WHEN {m} < {n} THEN {m} ELSE 2 * {n} - 1 - {m} END + 1])))"
 
 
-def _dwt() -> str:
-    out = "WITH a0 AS (SELECT vec_id, list_transform(embedding, lambda y: CAST(y AS DOUBLE)) AS x, least(floor(log2(len(embedding) / 7.0)), 4) AS lv FROM embeddings)"
+def _levels(source: str, keys: str) -> str:
+    """Expressions a0 to a4 over ``source``, which has the keys and an array x: the approximation x and the details d of each level."""
+    out = f"a0 AS (SELECT {keys}, x, least(floor(log2(len(x) / 7.0)), 4) AS lv FROM {source})"
     for k in range(1, 5):
-        out += f",\na{k} AS (SELECT vec_id, lv, CASE WHEN lv >= {k} THEN {_level('x', wavelet.DEC_LO)} ELSE x END AS x, CASE WHEN lv >= {k} THEN {_level('x', wavelet.DEC_HI)} END AS d FROM a{k - 1})"
-    cols = ", ".join(f"round(list_sum(list_transform(a{k}.d, lambda y: y * y)), 6) AS detail_energy_L{k}" for k in range(1, 5))
-    return f"{out}\nSELECT a1.vec_id, {cols} FROM a1 JOIN a2 USING (vec_id) JOIN a3 USING (vec_id) JOIN a4 USING (vec_id)"
+        out += f",\na{k} AS (SELECT {keys}, lv, CASE WHEN lv >= {k} THEN {_level('x', wavelet.DEC_LO)} ELSE x END AS x, CASE WHEN lv >= {k} THEN {_level('x', wavelet.DEC_HI)} END AS d FROM a{k - 1})"
+    return out
+
+
+_SQUARES = [f"list_sum(list_transform(a{k}.d, lambda y: y * y))" for k in range(1, 5)]
+
+
+def _dwt() -> str:
+    cols = ", ".join(f"round({e}, 6) AS detail_energy_L{k}" for k, e in enumerate(_SQUARES, 1))
+    doubles = "(SELECT vec_id, list_transform(embedding, lambda y: CAST(y AS DOUBLE)) AS x FROM embeddings)"
+    return f"WITH {_levels(doubles, 'vec_id')}\nSELECT a1.vec_id, {cols} FROM a1 JOIN a2 USING (vec_id) JOIN a3 USING (vec_id) JOIN a4 USING (vec_id)"
+
+
+def _window_dwt() -> str:
+    keys = "ch, epoch_id, win_start"
+    levels = range(1, 5)
+    details = ", ".join(f"{e} AS detail_energy_L{k}" for k, e in enumerate(_SQUARES, 1))
+    joined = " ".join(f"JOIN a{k} USING ({keys})" for k in levels[1:])
+    first = ", ".join(f"CASE WHEN lv >= {k} THEN [detail_energy_L1, detail_energy_L2, detail_energy_L3, detail_energy_L4][CAST(lv AS BIGINT) - {k} + 1] END AS wavelet_energy_d{k}" for k in levels)
+    names = [f"{stem}{k}" for stem in ("wavelet_energy_d", "detail_energy_L") for k in levels]
+    means = ", ".join(f"round(avg({n}), 3) AS {n}" for n in names)
+    return f"""SELECT ep.ch, ep.epoch_id, {means} FROM ep LEFT JOIN (WITH {_levels("wx", keys)},
+e AS (SELECT {keys}, a1.lv, {details} FROM a1 {joined}) SELECT *, {first} FROM e) AS w USING (ch, epoch_id) GROUP BY ep.ch, ep.epoch_id"""
 
 
 @query("G11_wavelet_energy", _dwt())
@@ -712,7 +745,7 @@ def _wavelet_energies(vectors: DataFrame) -> DataFrame:
     return _round(wavelet.with_energies(e, "x", P.sfreq, ["vec_id"]), [f"detail_energy_L{k}" for k in range(1, 5)], 6, ("vec_id",))
 
 
-@query("G12_frequency_features")
+@query("G12_frequency_features", _window_dwt())
 def _(spark, d):
     w, s = _window_signals(spark, d)
     every = _epochs(s).select("rec_id", F.col("rec_id").alias("ch"), "epoch_id")
@@ -782,7 +815,24 @@ def _(spark, d):
     return _round(out, ["max_value", "duration_base", "duration_tent", "pos_amp_vel_ratio_zero"], 3, ("ch", "start_blink", "end_blink"))
 
 
-@query("M2_segment_properties")
+def _alone() -> str:
+    """The chain from peaks to bases over epochs, each as a channel of its own."""
+    name = "ch || '/' || epoch_id AS ch"
+    chain = part("len", "pk", "peaks", "bounded", "zeros", "vel", "strokes", "based")
+    return f"""SELECT split_part(ch, '/', 1) AS ch, CAST(split_part(ch, '/', 2) AS BIGINT) AS seg_id, row_number() OVER (PARTITION BY ch ORDER BY start_blink) - 1 AS blink_id, start_blink, max_blink,
+round((right_base - left_base) / 100.0, 4) AS duration_base, round((right_zero - left_zero) / 100.0, 4) AS duration_zero,
+round(CASE WHEN shut IS NULL THEN 0 ELSE (SELECT min(i) FROM parts AS s WHERE s.ch = z.ch AND i BETWEEN shut AND right_base AND v < {P.shut_amp_fraction} * max_value) - shut END / 100.0, 4) AS time_shut_base
+FROM (WITH samples AS MATERIALIZED (SELECT {name}, k AS i, v FROM epx), blinks AS MATERIALIZED (SELECT DISTINCT {name}, start_rel AS start_blink, end_rel AS end_blink FROM ow),
+{chain}
+SELECT *, (SELECT min(i) FROM samples AS s WHERE s.ch = b.ch AND i BETWEEN left_base AND right_base AND v >= {P.shut_amp_fraction} * max_value) AS shut FROM based AS b) AS z"""
+
+
+def _segments_sql() -> str:
+    parts = "parts AS MATERIALIZED (SELECT ch || '/' || epoch_id AS ch, k AS i, v FROM epx)"
+    return sql(_alone()).replace("\nSELECT split_part", f",\n{parts}\nSELECT split_part", 1)
+
+
+@query("M2_segment_properties", _segments_sql())
 def _(spark, d):
     w, s = _windows_in_epochs(spark, d)
     base = F.col("epoch_id") * FRAMES

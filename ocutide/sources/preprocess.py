@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ocutide.functions.scan import next_known
 from ocutide.model import KEYS
 
 BLOCK = 4096
@@ -39,12 +40,14 @@ def fir(samples: DataFrame, taps: list[float], block: int = BLOCK) -> DataFrame:
 
 
 def resample(samples: DataFrame, sfreq: float, rate: float) -> DataFrame:
-    """Linear interpolation at a lower rate; each new frame needs its two neighbours only, found by an equi-join."""
-    step = sfreq / rate
-    ends = samples.groupBy(*KEYS).agg(F.max("i").alias("last"))
-    frames = ends.select(*KEYS, F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.col("last") / step))).alias("k"))
-    frames = frames.withColumn("t", F.col("k") * step).withColumn("i", F.floor("t"))
-    one = samples.select(*KEYS, "i", "v")
-    two = samples.select(*KEYS, (F.col("i") - 1).alias("i"), F.col("v").alias("w"))
-    both = frames.join(one, [*KEYS, "i"]).join(two, [*KEYS, "i"], "left")
-    return both.select(*KEYS, F.col("k").alias("i"), (F.col("v") + (F.coalesce("w", "v") - F.col("v")) * (F.col("t") - F.col("i"))).alias("v"))
+    """Linear interpolation at another rate (A2).
+
+    Each frame gives the new frames that lie between it and the next one, which a scan
+    in chunks finds; a channel's last frame gives those at its own place.
+    """
+    step, c = sfreq / rate, F.col
+    ahead = next_known(samples.select(*KEYS, "i", "v"), {"_next": c("v")}, own=False)
+    low, high = F.ceil(c("i") / step), F.ceil((c("i") + 1) / step) - 1
+    frames = ahead.where(low <= high).select(*KEYS, "i", "v", "_next", F.explode(F.sequence(low, high)).alias("k"))
+    near = frames.where((c("k") * step == c("i")) | c("_next").isNotNull())
+    return near.select(*KEYS, c("k").alias("i"), (c("v") + (F.coalesce("_next", "v") - c("v")) * (c("k") * step - c("i"))).alias("v"))
