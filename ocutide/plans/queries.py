@@ -818,7 +818,10 @@ def _(spark, d):
 def _alone() -> str:
     """The chain from peaks to bases over epochs, each as a channel of its own."""
     name = "ch || '/' || epoch_id AS ch"
-    chain = part("len", "pk", "peaks", "bounded", "zeros", "vel", "strokes", "based")
+    over = "(s.v) OVER (PARTITION BY b.ch, start_blink)"
+    # blinks are troughs in channels that are neither EEG nor EOG
+    extreme = f"CASE WHEN lower(b.ch) LIKE '%eeg%' OR lower(b.ch) LIKE '%eog%' THEN max{over} ELSE min{over} END"
+    chain = part("len", "pk", "peaks", "bounded", "zeros", "vel", "strokes", "based").replace(f"max{over}", extreme, 1)
     return f"""SELECT split_part(ch, '/', 1) AS ch, CAST(split_part(ch, '/', 2) AS BIGINT) AS seg_id, row_number() OVER (PARTITION BY ch ORDER BY start_blink) - 1 AS blink_id, start_blink, max_blink,
 round((right_base - left_base) / 100.0, 4) AS duration_base, round((right_zero - left_zero) / 100.0, 4) AS duration_zero,
 round(CASE WHEN shut IS NULL THEN 0 ELSE (SELECT min(i) FROM parts AS s WHERE s.ch = z.ch AND i BETWEEN shut AND right_base AND v < {P.shut_amp_fraction} * max_value) - shut END / 100.0, 4) AS time_shut_base
