@@ -784,7 +784,7 @@ def _(spark, d):
     return epochs.full_segments(lengths, FRAMES).withColumnRenamed("rec_id", "ch")
 
 
-@query("I2_all_segments", f"SELECT l.ch, e.epoch_id, epoch_id * {FRAMES} AS start_i, least((epoch_id + 1) * {FRAMES}, n - 1) AS end_i, (SELECT count(*) FROM ann AS a WHERE a.ch = l.ch AND floor(onset * 100.0 / {FRAMES}) = epoch_id) AS blink_count FROM len AS l, (SELECT unnest(range(10000)) AS epoch_id) AS e WHERE epoch_id < ceil((n - 1) / {FRAMES})")
+@query("I2_all_segments", f"SELECT l.ch, e.epoch_id, epoch_id * {FRAMES} AS start_i, least((epoch_id + 1) * {FRAMES}, n - 1) AS end_i, (SELECT count(*) FROM ann AS a WHERE a.ch = l.ch AND floor(onset * 100.0 / {FRAMES}) = epoch_id) AS blink_count FROM len AS l, (SELECT unnest(range((SELECT CAST(max(n) // {FRAMES} + 1 AS BIGINT) FROM len))) AS epoch_id) AS e WHERE epoch_id < ceil((n - 1) / {FRAMES})")
 def _(spark, d):
     s = _samples(spark, d)
     e = epochs.all_epochs(landmarks.channel_lengths(s).select(F.col("ch").alias("rec_id"), "n"), FRAMES)
@@ -985,7 +985,7 @@ def _(spark, d):
     return _windows_in_epochs(spark, d)[0].groupBy("ch", "epoch_id").agg(F.count("*").alias("n_blinks"))
 
 
-@query("I4_mini_segments", f"SELECT l.ch, e.epoch_id, printf('epoch_%04d_%07.2fs-%07.2fs_raw', e.epoch_id, epoch_id * {SECONDS}, least((epoch_id + 1) * {FRAMES}, n - 1) / 100.0) AS name FROM len AS l, (SELECT unnest(range(10000)) AS epoch_id) AS e WHERE epoch_id < ceil((n - 1) / {FRAMES})")
+@query("I4_mini_segments", f"SELECT l.ch, e.epoch_id, printf('epoch_%04d_%07.2fs-%07.2fs_raw', e.epoch_id, epoch_id * {SECONDS}, least((epoch_id + 1) * {FRAMES}, n - 1) / 100.0) AS name FROM len AS l, (SELECT unnest(range((SELECT CAST(max(n) // {FRAMES} + 1 AS BIGINT) FROM len))) AS epoch_id) AS e WHERE epoch_id < ceil((n - 1) / {FRAMES})")
 def _(spark, d):
     e = epochs.all_epochs(landmarks.channel_lengths(_samples(spark, d)).select(F.col("ch").alias("rec_id"), "n"), FRAMES)
     return e.select(F.col("rec_id").alias("ch"), "epoch_id", epochs.segment_name(F.col("epoch_id"), F.col("start_i") / P.sfreq, F.col("end_i") / P.sfreq).alias("name"))
