@@ -60,9 +60,12 @@ def zero_crossings(blinks: DataFrame, samples: DataFrame) -> DataFrame:
 
 
 def with_hull(blinks: DataFrame, samples: DataFrame) -> DataFrame:
-    """Blinks with the signal from before the outer start to past the outer end, and its velocity."""
+    """Blinks with the signal from before the outer start to past the outer end and the zeros, and its velocity.
+
+    The frame after each end belongs to it: the velocity at the end needs it.
+    """
     lo = F.greatest(F.least(F.col("outer_start") - 1, "left_zero", "start_blink"), F.lit(0).cast("bigint"))
-    hi = F.least(F.greatest(F.col("outer_end") + 1, "right_zero", "end_blink"), F.col("n") - 1)
+    hi = F.least(F.greatest("outer_end", "right_zero", "end_blink") + 1, F.col("n") - 1)
     return attach_signal(blinks, samples, lo, hi).withColumn("vel", A.differences(F.col("sig")))
 
 
