@@ -27,3 +27,8 @@ def located(spark):
 def test_extreme_velocities_reach_past_the_next_peak(spark):
     got = located(spark).select("start_blink", "max_pos_vel_frame", "max_neg_vel_frame").collect()
     assert [tuple(r) for r in got] == sql_rows("mpv, mnv") and got
+
+
+def test_left_bases_of_blinks_that_stay(spark):
+    got = located(spark).select("start_blink", "max_pos_vel_frame", "left_base").collect()
+    assert [tuple(r) for r in got] == sql_rows("mpv, left_base") and got
