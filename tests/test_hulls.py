@@ -32,3 +32,8 @@ def test_extreme_velocities_reach_past_the_next_peak(spark):
 def test_left_bases_of_blinks_that_stay(spark):
     got = located(spark).select("start_blink", "max_pos_vel_frame", "left_base").collect()
     assert [tuple(r) for r in got] == sql_rows("mpv, left_base") and got
+
+
+def test_both_bases_of_blinks_that_stay(spark):
+    got = located(spark).select("start_blink", "left_base", "right_base").collect()
+    assert [tuple(r) for r in got] == sql_rows("left_base, right_base") and got
