@@ -37,3 +37,8 @@ def test_left_bases_of_blinks_that_stay(spark):
 def test_both_bases_of_blinks_that_stay(spark):
     got = located(spark).select("start_blink", "left_base", "right_base").collect()
     assert [tuple(r) for r in got] == sql_rows("left_base, right_base") and got
+
+
+def test_right_bases_of_blinks_that_stay(spark):
+    got = located(spark).select("start_blink", "max_neg_vel_frame", "right_base").collect()
+    assert [tuple(r) for r in got] == sql_rows("mnv, right_base") and got
