@@ -23,7 +23,7 @@ def channel_blinks(samples: DataFrame, p: Params) -> tuple[DataFrame, DataFrame]
     fitted = fit.fit_blinks(located, p.base_fraction).persist()
     stats = channels.blink_statistics(fitted, samples, p).persist()
     kept = channels.keep_good(fitted, stats, p).persist()
-    done = properties.fitted(properties.unfitted(kept, p), p)
+    done = properties.fitted(properties.unfitted(kept, p), p, samples)
     return channels.restrict_ratio(done, p), stats
 
 
@@ -72,7 +72,7 @@ def segment_properties(samples: DataFrame, windows: DataFrame, p: Params, run_fi
     if run_fit:
         located = fit.fit_blinks(located, p.base_fraction)
     done = properties.unfitted(located, p)
-    done = properties.fitted(done, p) if run_fit else done
+    done = properties.fitted(done, p, own) if run_fit else done
     numbered = metadata.number_blinks(done, KEYS, "start_blink")
     return numbered.withColumn("rec_id", F.split("rec_id", "\x1f")[0]).withColumnRenamed("epoch_id", "seg_id")
 

@@ -761,8 +761,12 @@ _HFIT = ["duration_tent", "duration_half_base", "duration_half_zero", "neg_amp_v
 
 
 def _masked(spark, d) -> DataFrame:
+    return _masked_with_samples(spark, d)[0]
+
+
+def _masked_with_samples(spark, d) -> tuple[DataFrame, DataFrame]:
     f, s = _fitted(spark, d)
-    return channels.keep_good(f, channels.blink_statistics(f, s, P), P)
+    return channels.keep_good(f, channels.blink_statistics(f, s, P), P), s
 
 
 @query("H1_properties", f"SELECT ch, start_blink, {rounded(_H)} FROM props")
@@ -772,7 +776,8 @@ def _(spark, d):
 
 @query("H2_fitted_properties", f"SELECT ch, start_blink, {rounded(_HFIT, 3)} FROM props")
 def _(spark, d):
-    return _round(properties.fitted(_masked(spark, d), P), _HFIT, 3, ("ch", "start_blink"))
+    b, s = _masked_with_samples(spark, d)
+    return _round(properties.fitted(b, P, s), _HFIT, 3, ("ch", "start_blink"))
 
 
 # -- segmentation
